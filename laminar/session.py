@@ -25,3 +25,25 @@ def build_session(app: str = "laminar", master: str | None = None, **conf: str)
     for key, value in defaults.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Hand this package to the Python workers of the session, once per application."""
+    import os
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        here = Path(__file__).resolve().parent
+        target = os.path.join(tempfile.mkdtemp(prefix="laminar-"), "laminar-package.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for source in sorted(here.rglob("*.py")):
+                z.write(source, source.relative_to(here.parent))
+        spark.sparkContext.addPyFile(target)
+        _SHIPPED.add(app)
+    return spark

@@ -1 +1 @@
-
+"""Column idioms used across the operators."""

@@ -28,3 +28,6 @@ def register(name: str, oracle: str | None = None):
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from laminar.plans import constraints, quality, stitching  # noqa: E402, F401  their queries register themselves

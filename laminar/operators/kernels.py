@@ -54,8 +54,8 @@ def components(mask: np.ndarray) -> np.ndarray:
             a, b = (np.moveaxis(label, axis, 0)[s] for s in (slice(None, -1), slice(1, None)))
             both = (a > 0) & (b > 0)
             low = np.minimum(a, b)
-            a[both] = low[both]
-            b[both] = low[both]
+            a[both] = np.minimum(a[both], low[both])
+            b[both] = np.minimum(b[both], low[both])
         root = np.concatenate([[0], label.ravel()])
         label = root[label]
         if (label == before).all():
@@ -176,3 +176,56 @@ def dip(block: np.ndarray, reach: int = 8) -> dict:
     contrast = float(np.percentile(block, 95) - np.percentile(block, 5))
     depth = shoulder - float(profile[reach - 1 : reach + 2].min())
     return {"shoulder": shoulder, "dip": depth, "dip_over_contrast": depth / contrast if contrast else 0.0, "contrast": contrast}
+
+
+def scale_of(depth: np.ndarray, nominal: float = 1.2) -> float:
+    """How much thicker the sheets of a block are than nominal: 90th percentile of depth over it, 0.5 to 8."""
+    inside = depth[(depth > 0) & np.isfinite(depth)]
+    return float(np.clip(np.percentile(inside, 90) / nominal, 0.5, 8)) if inside.size else 1.0
+
+
+def consolidate(lines: np.ndarray, normal: np.ndarray, reach: float = 4.0, k: int = 10, along: float = 0.5, parallel: float = 0.8) -> np.ndarray:
+    """Centre-line fragments joined where points of two lie near each other in one plane.
+
+    Each point looks at its nearest points within ``reach``; a pair counts where the step between them is
+    mostly in the plane of the source and the normals agree; fragments with such a pair are one.
+    """
+    at = np.argwhere(lines > 0)
+    label = lines[lines > 0]
+    n = normal[lines > 0]
+    parent = {int(v): int(v) for v in np.unique(label)}
+
+    def root(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for i in range(len(at)):
+        step = at - at[i]
+        d = np.sqrt((step * step).sum(1))
+        near = [j for j in np.argsort(d, kind="stable")[:k] if 0 < d[j] < reach and j > i]
+        for j in near:
+            if abs(step[j] @ n[i]) <= along * d[j] and abs(n[i] @ n[j]) >= parallel:
+                a, b = sorted((root(int(label[i])), root(int(label[j]))))
+                parent[b] = a
+    out = np.zeros_like(lines)
+    out[lines > 0] = [root(int(v)) for v in label]
+    return out
+
+
+def split_stack(block: np.ndarray, least: int = 4) -> np.ndarray:
+    """Fused sheets of one block apart: contrast, ridges, fragments joined, and a flood over darkness."""
+    mask = block > 0
+    if not mask.any():
+        return np.zeros(block.shape, dtype=np.int64)
+    bright = np.stack([equalise(p / max(block.max(), 1e-9), 8) for p in block])
+    lines = components(ridges(bright) & mask)
+    size = np.bincount(lines.ravel())
+    lines = np.where((size[lines] >= least) & (lines > 0), lines, 0)
+    if not lines.any():
+        return components(mask)
+    seeds = consolidate(lines, structure_tensor(bright)["normal"])
+    out = flood(-bright, seeds, mask)
+    rest = components(mask & (out == 0))
+    return np.where(out > 0, out, np.where(rest > 0, rest + out.max(), 0))

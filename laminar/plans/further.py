@@ -110,7 +110,7 @@ def streamed_windows(spark, sf_dir):
     frame = incremental.windowed_counts(stream, "ts", "2 days", "1 day", "0 seconds", ["event_type"])
     root = f"{shared_dir(spark)}/laminar-stream-{uuid.uuid4().hex}"
     out = incremental.run_to_table(spark, frame, f"{root}/out", f"{root}/state")
-    return out.select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @register("streamed_slab_counts", "SELECT CAST(l_orderkey // 7500 AS BIGINT) AS slab, count(*) AS n, count(DISTINCT l_partkey) AS labels FROM lineitem GROUP BY 1")

@@ -70,52 +70,54 @@ def simhash(texts: pa.Array, k: int = 3, chunk: int = 200_000) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, slice_bytes: int = 4 << 20) -> DataFrame:
-    """Rows ``(id_col, fp)``; a null text, or one without words, has fingerprint 0."""
-    narrow = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    """Rows ``(id_col, text_hash, fp)``; a null text, or one without words, has fingerprint 0."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    narrow = docs.select(F.col(id_col), F.xxhash64(text).alias("text_hash"), text.alias("__text"))
     id_type = narrow.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1), slice_bytes):
-                made = simhash(batch.column(1).slice(a, b - a), k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(made)], names=[id_col, "fp"])
+            for a, b in slices(batch.column(2), slice_bytes):
+                made = simhash(batch.column(2).slice(a, b - a), k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(made)], names=[id_col, "text_hash", "fp"])
 
-    return narrow.mapInArrow(run, f"`{id_col}` {id_type}, fp long")
+    return narrow.mapInArrow(run, f"`{id_col}` {id_type}, text_hash long, fp long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, k: int = 3, crowd: int = 64) -> DataFrame:
-    """One row per row of ``docs``: ``(id_col, fp, component_id, n_links)``.
+    """One row per row of ``docs``: ``(id_col, text_hash, fp, root, component_id)``.
 
     Texts link when their fingerprints differ in at most ``max_bits`` bits; ``component_id`` is the
-    smallest id that links reach, itself included. Equal fingerprints are one node, so copies cost
-    nothing beyond their row. Rows with a null id take part in linking and get their component's smallest
-    id (null where no row of it has one). Repeated ids give a row each. An empty table gives no rows.
+    smallest id that links reach, itself included, and ``root`` names the group by its smallest
+    fingerprint. Equal fingerprints are one node, so copies cost nothing beyond their row. Rows with a
+    null id take part in linking and get their component's smallest id (null where no row of it has one).
+    Repeated ids give a row each. An empty table gives no rows.
     """
     made = stage(fingerprints(docs, id_col, text_col, k), "fp")
     nodes = stage(made.groupBy("fp").agg(F.min(id_col).alias("low")), "fpnodes")
     found = connected_components(hamming_links(nodes.select("fp"), max_bits, crowd))
     linked = nodes.join(found.withColumnRenamed("node", "fp"), "fp")
     lowest = linked.groupBy("component").agg(F.min("low").alias("component_id"))
-    settled = linked.join(lowest, "component").select("fp", "component_id")
-    of = nodes.join(settled, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return made.join(of, "fp").select(id_col, "fp", "component_id")
+    settled = linked.join(lowest, "component").select("fp", "component", "component_id")
+    of = nodes.join(settled, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.coalesce("component_id", "low").alias("component_id"))
+    of = stage(of, "fpmap")  # both sides of the last join then are plain exchanges, which AQE can split
+    return made.join(of, "fp").select(id_col, "text_hash", "fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id.
+    """``docs`` with one row of each group: the one with the smallest id, null last, then the smallest text hash.
 
-    Where several rows have that id, those with the smallest text hash stay; exact repeats of a row are
-    dropped. Rows with a null id stay only in groups without any id, one each.
+    Exact repeats of that row are dropped too (rows agreeing on id and text are taken as the same).
     """
-    groups = simhash_groups(docs, id_col, text_col, max_bits)
-    keep = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(keep, id_col, "left_semi")
-    nameless = groups.where("component_id IS NULL").groupBy("component_id").count()
-    named = named.dropDuplicates([id_col])
-    if nameless.head(1):
-        rows = docs.where(F.col(id_col).isNull() & F.col(text_col).isNotNull()).dropDuplicates([text_col])
-        ids = groups.where(F.col("component_id").isNotNull()).select("fp").distinct()
-        tagged = fingerprints(rows.withColumn("__t", F.col(text_col)), "__t", text_col)
-        free = tagged.join(ids, "fp", "left_anti").dropDuplicates(["fp"]).select(F.col("__t").alias(text_col))
-        named = named.unionByName(rows.join(free, text_col, "left_semi").select(docs.columns))
-    return named
+    groups = stage(simhash_groups(docs, id_col, text_col, max_bits), "groups")
+    order = F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.col("text_hash").alias("t"))).alias("k")
+    keep = groups.groupBy("root").agg(order).select(F.col("k.i").alias("__i"), F.col("k.t").alias("__t"))
+    match = lambda a, b: (F.col(f"{a}.__h") == F.col(f"{b}.__t")) & F.col(f"{a}.`{id_col}`").eqNullSafe(F.col(f"{b}.__i"))
+    rows = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = rows.alias("a").join(keep.alias("b"), match("a", "b"), "left_semi")
+    repeats = groups.groupBy(F.col(id_col).alias("__i"), F.col("text_hash").alias("__t")).count().where("count > 1").drop("count")
+    if repeats.head(1):
+        once = kept.alias("a").join(repeats.alias("b"), match("a", "b"), "left_anti")
+        several = kept.alias("a").join(repeats.alias("b"), match("a", "b"), "left_semi").dropDuplicates([id_col, "__h"])
+        kept = once.unionByName(several)
+    return kept.select(docs.columns)

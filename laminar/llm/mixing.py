@@ -68,7 +68,7 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: floa
     without words has one copy and takes nothing. Rows that agree on id, source and text are one unit and
     get the same copies. Null ids and null sources are values like any other; columns other than
     ``doc_id, source, text`` are not read. The result depends on the rows alone, not on their order or
-    partitioning, so reruns agree. The table of sources is broadcast while it has at most 100,000 rows.
+    partitioning, so reruns agree. The table of sources is broadcast while it has at most 20,000 rows.
     """
     words = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORDS))).cast("long")
     rows = stage(docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words.alias("size")), "sizes")

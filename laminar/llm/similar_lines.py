@@ -1,0 +1,123 @@
+"""Fuzzy line deduplication by edit similarity alone, DataFrame functions only.
+
+Every line that is not blank takes part, in a form that keeps all its characters (case and spacing aside).
+Equal forms are one class. Classes that may be similar meet under keys:
+
+* Forms shorter than ``SHORT`` by partition: a line of n characters is cut into n div 9 + 1 segments, one more
+  than the edits that a similarity of 0.9 allows against a longer line, so one segment stands unchanged in that
+  line, shifted by at most the edits. No pair is lost.
+* Longer ones by whole words: shingles of three words (under 32 words) and of four (from 24 on; from 32, 64 and 128
+  words on every second, fourth and eighth by hash). A pair is lost where edits leave no three or four words in a row.
+* Long lines of few words (scripts without spaces) by runs of eight characters, every fourth by hash.
+
+Under each key all are compared with one member first; then only those that are still apart are paired.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from laminar.graph import connected_components
+from laminar.llm.line_dedup import without_lines
+from laminar.llm.pigeonhole import small
+from laminar.storage import stage
+
+SHORT = 72
+SIMILARITY = 0.9  # the keys are made for it
+INDEX, PROBE = 1, 2
+
+
+def form(line) -> F.Column:
+    """Lower case, white space as one space; numbers and symbols stay."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[\s\p{Z}]+", " "))
+
+
+def _short_keys(classes: DataFrame) -> DataFrame:
+    """``key, h, len, role``: segments of each short line, and where longer lines may hold segments of a line of ``l``."""
+    low = classes.where(f"len BETWEEN 9 AND {SHORT - 1}")
+    cut = "CAST(i * l div (l div 9 + 1) AS int)"
+    width = "CAST((i + 1) * l div (l div 9 + 1) - i * l div (l div 9 + 1) AS int)"
+    key = F.expr(f"xxhash64(l, i, substring(form, at + 1, {width}))")
+    held = low.withColumn("l", F.col("len")).withColumn("i", F.expr("explode(sequence(0, l div 9))")).withColumn("at", F.expr(cut))
+    asks = low.withColumn("l", F.expr("explode(sequence(CAST(ceil(0.9 * len - 1e-9) AS int), len))")).where("l >= 9")
+    asks = asks.withColumn("i", F.expr("explode(sequence(0, l div 9))"))
+    # edits left of a segment are at most its number or those that remain right of it (Li et al., 2011)
+    room, more = "l div 9", "(len - l)"
+    first = f"greatest({cut} - i, {cut} + {more} - ({room} - i), 0)"
+    last = f"least({cut} + i, {cut} + {more} + ({room} - i), len - {width})"
+    asks = asks.withColumns({"a": F.expr(first).cast("int"), "b": F.expr(last).cast("int")}).where("a <= b").withColumn("at", F.expr("explode(sequence(a, b))"))
+    made = [t.select(key.alias("key"), "h", "len", F.lit(role).alias("role")) for t, role in ((held, INDEX), (asks, PROBE))]
+    return made[0].union(made[1])
+
+
+def _runs(items: str, k: int) -> str:
+    """SQL: hashes of ``k`` items in a row of the array column ``items``."""
+    parts = ", ".join(f"{items}[i + {j}]" for j in range(k))
+    return f"CASE WHEN size({items}) >= {k} THEN transform(sequence(0, size({items}) - {k}), i -> xxhash64({k}, {parts})) ELSE CAST(array() AS array<bigint>) END"
+
+
+def _long_keys(classes: DataFrame) -> DataFrame:
+    """``key, h, len, role``: word shingles, or runs of characters of lines of few words."""
+    low = classes.where(f"len >= {int(SHORT * SIMILARITY) - 1}").withColumn("w", F.expr("transform(split(form, ' '), x -> xxhash64(x))")).withColumn("n", F.size("w"))
+    step = "CASE WHEN n < 32 THEN 1 WHEN n < 64 THEN 2 WHEN n < 128 THEN 4 ELSE 8 END"
+    three = f"CASE WHEN n < 32 THEN {_runs('w', 3)} ELSE CAST(array() AS array<bigint>) END"
+    four = f"CASE WHEN n >= 24 THEN filter({_runs('w', 4)}, x -> pmod(x, {step}) = 0) ELSE CAST(array() AS array<bigint>) END"
+    words = low.where("n * 14 >= len").select("h", "len", F.explode(F.array_distinct(F.concat(F.expr(three), F.expr(four)))).alias("key"))
+    few = low.where("n * 10 < len").withColumn("c", F.split("form", ""))
+    chars = few.select("h", "len", F.explode(F.array_distinct(F.expr(f"filter({_runs('c', 8)}, x -> pmod(x, 4) = 0)"))).alias("key"))
+    return words.union(chars).select("key", "h", "len", F.lit(INDEX | PROBE).alias("role"))
+
+
+def similar_classes(classes: DataFrame) -> DataFrame:
+    """``h, g``: classes (``h, form, len``, staged) that reach others by links of similarity 0.9, and their group."""
+    keys = _short_keys(classes).union(_long_keys(classes)).repartition("key")
+    held = keys.groupBy("key").agg(F.min(F.when(F.col("role").bitwiseAND(INDEX) > 0, F.col("h"))).alias("hub"), F.min("h").alias("a"), F.max("h").alias("b"))
+    held = stage(held.where("hub IS NOT NULL AND a != b").select("key", "hub"), "linekeys")
+    members = stage(keys.join(small(held, held.count()), "key"), "linemembers")
+    fits = f"least(l1, l2) >= {SIMILARITY} * greatest(l1, l2) - 1e-9"
+    room = F.floor((1 - SIMILARITY) * F.greatest("l1", "l2") + 1e-9).cast("int")
+    x, y = classes.select(F.col("h").alias("h1"), F.col("form").alias("t1")), classes.select(F.col("h").alias("h2"), F.col("form").alias("t2"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        far = pairs.join(x, "h1").join(y, "h2").withColumn("room", room).withColumn("d", F.expr("levenshtein(t1, t2, room)"))
+        return stage(far.where("d >= 0").select(F.col("h1").alias("src"), F.col("h2").alias("dst")), "lineedges")
+
+    lengths = classes.select(F.col("h").alias("h1"), F.col("len").alias("l1"))
+    star = members.where("h != hub").select(F.col("hub").alias("h1"), F.col("h").alias("h2"), F.col("len").alias("l2")).distinct()
+    star = stage(star.join(lengths, "h1").where(fits), "linestar")
+    near = verified(star)
+    comps = stage(connected_components(near).select(F.col("node").alias("h"), F.col("component").alias("g")), "near")
+    known = members.drop("hub").join(comps, "h", "left").withColumn("g", F.coalesce("g", "h"))
+    mixed = known.groupBy("key").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a != b").select("key")
+    known = stage(known.join(mixed, "key", "left_semi"), "lineapart")
+    one = known.where(F.col("role").bitwiseAND(INDEX) > 0).select("key", F.col("h").alias("h1"), F.col("len").alias("l1"), F.col("g").alias("g1"), F.col("role").alias("r1"))
+    two = known.where(F.col("role").bitwiseAND(PROBE) > 0).select("key", F.col("h").alias("h2"), F.col("len").alias("l2"), F.col("g").alias("g2"))
+    apart = one.hint("merge").join(two, "key").where("g1 != g2").where(f"r1 = {INDEX} OR h1 < h2").where(fits)
+    apart = stage(apart.select("h1", "h2", "l1", "l2").distinct(), "linepairs")
+    apart = apart.join(star.select("h1", "h2"), ["h1", "h2"], "left_anti")
+    edges = near.union(verified(apart))
+    return stage(connected_components(edges).select(F.col("node").alias("h"), F.col("component").alias("g")), "linegroups")
+
+
+def duplicate_lines(docs: DataFrame) -> DataFrame:
+    """Occurrences to drop: ``doc_id, th, pos``.
+
+    Two lines link when their edit similarity, 1 minus the Levenshtein distance of their forms over the
+    longer length, is at least 0.9; of each connected group the first in the order of (document id, text hash,
+    line number) stays. Rows that agree on id and text are one document; a null id sorts last.
+    """
+    rows = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = stage(rows.select("doc_id", "th", "pos", form(F.col("line")).alias("form")).where("form != ''").withColumn("h", F.xxhash64("form")), "lines")
+    classes = stage(lines.select("h", "form").distinct().withColumn("len", F.length("form")), "lineclasses")
+    groups = similar_classes(classes)
+    placed = lines.select("doc_id", "th", "pos", "h").join(groups, "h", "left").withColumn("g", F.coalesce("g", "h"))
+    placed = stage(placed.select("g", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "pos").alias("o")), "placed")
+    first = placed.groupBy("g").agg(F.min("o").alias("keep"), F.count("*").alias("k")).where("k > 1").select("g", "keep")
+    dropped = placed.join(first, "g").where(~F.col("o").eqNullSafe(F.col("keep")))
+    return dropped.select("o.doc_id", "o.th", "o.pos")
+
+
+def dedup_similar_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, ``text`` without its duplicate lines, and ``__lines, __removed`` (see ``dedup_lines``)."""
+    return without_lines(docs, duplicate_lines(docs))

@@ -1,0 +1,116 @@
+from __future__ import annotations
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from laminar.llm.similar_lines import dedup_similar_lines, form, similar_classes
+from laminar.storage import stage
+
+from .conftest import ODD
+
+
+def _within(a, b, most):
+    """Whether the Levenshtein distance is at most ``most``, by rows cut to a band."""
+    row = {j: j for j in range(min(len(b), most) + 1)}
+    for i in range(1, len(a) + 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            best = min(row.get(j, most + 1) + 1, new.get(j - 1, most + 1) + 1)
+            new[j] = min(best, row.get(j - 1, most + 1) + (a[i - 1] != b[j - 1])) if j else i
+        row = new
+        if min(row.values()) > most:
+            return False
+    return row.get(len(b), most + 1) <= most
+
+
+def _form(line):
+    return re.sub(r"\s+", " ", line.lower()).strip()
+
+
+def _groups(forms):
+    """Group of each form by edit similarity alone, over all pairs."""
+    forms, root = sorted(forms, key=len), {f: f for f in forms}
+
+    def top(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for i, a in enumerate(forms):
+        for b in forms[i + 1 :]:
+            most = int(0.1 * len(b) + 1e-9)
+            if len(b) - len(a) > most:
+                break
+            if top(a) != top(b) and _within(a, b, most):
+                root[top(b)] = top(a)
+    return {f: top(f) for f in forms}
+
+
+def _partition(groups):
+    made = {}
+    for f, g in groups.items():
+        made.setdefault(g, set()).add(f)
+    return {frozenset(s) for s in made.values() if len(s) > 1}
+
+
+def _changed(rng, line, edits, letters="abcdefgh 0123"):
+    out = list(line)
+    for _ in range(edits):
+        k = rng.randrange(len(out))
+        how = rng.randrange(3)
+        out[k : k + (how > 0)] = [] if how == 1 else [rng.choice(letters)]
+    return _form("".join(out))
+
+
+def _found(spark, forms):
+    classes = spark.createDataFrame([(f,) for f in sorted(forms)], "form string").select(F.xxhash64("form").alias("h"), "form", F.length("form").alias("len"))
+    classes = stage(classes, "testclasses")
+    rows = classes.join(similar_classes(classes), "h").select("form", "g").collect()
+    return _partition({r["form"]: r["g"] for r in rows})
+
+
+def test_short_lines_match_edit_similarity_over_all_pairs(spark):
+    rng = random.Random(7)
+    forms = set()
+    for _ in range(150):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(1, 10))]
+        line = " ".join(words)[:71].strip()
+        forms.add(line)
+        for _ in range(3):
+            forms.add(_changed(rng, line, rng.randint(1, max(1, len(line) // 9))))
+    forms = {f for f in forms if 0 < len(f) < 72}
+    want = _partition(_groups(forms))
+    assert len(want) > 80
+    assert _found(spark, forms) == want
+
+
+def test_changed_words_in_longer_lines(spark):
+    rng = random.Random(8)
+    forms = set()
+    for n in (12, 20, 27, 40, 70, 140):
+        for _ in range(8):
+            words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9))) for _ in range(n)]
+            forms.add(" ".join(words))
+            for _ in range(3):
+                other = list(words)
+                for k in rng.sample(range(n), max(1, n // 20)):
+                    other[k] = "".join(rng.choice("klmnop") for _ in range(len(other[k])))
+                forms.add(" ".join(other))
+    for _ in range(6):
+        line = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(110))
+        forms |= {line, line[:40] + "々" + line[41:]}
+    want = _partition(_groups(forms))
+    assert len(want) >= 50
+    assert _found(spark, forms) == want
+
+
+def test_odd_rows(make_docs):
+    docs = make_docs([*ODD, (9, "\n \n"), (0, "a line that is here twice")])
+    got = {}
+    for r in dedup_similar_lines(docs).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert got[1][0]["text"] is None and got[2][0]["text"] == "" and got[9][0]["text"] == "\n \n"
+    assert [r["__removed"] for r in got[4]] == [0, 0] and got[5][0]["text"] == ""
+    assert dedup_similar_lines(docs.where(F.lit(False))).count() == 0

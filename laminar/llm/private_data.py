@@ -1,9 +1,9 @@
 """Operator 9: personal data spans and information-theoretic sanitisation, DataFrame functions only.
 
-Base spans are addresses, numbers and cards found by fixed patterns. Around them the corpus tells which
-terms give a protected value away: with P(e) the share of documents that mention value e and P(e | t) its
-share among documents that have term t, a term discloses log(P(e | t) / P(e)) of the log(1 / P(e)) bits
-that name e. Terms near a mention whose share of disclosed bits exceeds the threshold are spans too.
+Base spans are addresses, numbers and cards found by fixed patterns. The corpus tells which terms give a
+protected value away: with P(e) the share of documents that mention value e and P(e | t) its share among
+documents that have term t, a term discloses log(P(e | t) / P(e)) of the log(1 / P(e)) bits that name e.
+Terms whose share of disclosed bits reaches the threshold are spans wherever they stand, in any document.
 """
 
 from __future__ import annotations
@@ -32,8 +32,7 @@ _FITS = {
     "card": f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}",
     "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
 }
-REACH = 60
-TERM = r"\p{L}{4,}"
+TERM = r"\p{L}[\p{L}\p{M}]*"
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
 
 
@@ -51,55 +50,70 @@ def _spans(kind: str) -> str:
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, tkey, spans, near``: text hash, base spans in order, and what stands around each mention."""
+    """``id_col, tkey, spans, body``: text hash, base spans in order, and the text without them where it has any."""
     t = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     found = t.withColumns({k: F.expr(_spans(k)) for k in KINDS}).withColumn("spans", F.array_sort(F.concat(*KINDS)))
-    near = F.expr(f"""CASE WHEN size(spans) > 0 THEN transform(spans, s -> named_struct('value', s.value, 'from', greatest(s.start - {REACH}, 0),
-        'left', substring(t, greatest(s.start - {REACH}, 0) + 1, least(s.start, {REACH})), 'to', s.end, 'right', substring(t, s.end + 1, {REACH}))) END""")
-    return found.select(id_col, F.xxhash64("t").alias("tkey"), "spans", near.alias("near"))
+    between = F.expr("""CASE WHEN size(spans) > 0 THEN aggregate(spans, named_struct('at', 0, 'out', CAST(array() AS array<string>)),
+        (acc, s) -> named_struct('at', greatest(acc.at, s.end), 'out', array_append(acc.out, substring(t, acc.at + 1, greatest(s.start - acc.at, 0)))),
+        acc -> array_join(array_append(acc.out, substring(t, acc.at + 1)), ' ')) END""")
+    return found.select(id_col, F.xxhash64("t").alias("tkey"), "spans", between.alias("body"))
 
 
-def _words_near() -> str:
-    """SQL: whole terms of a piece of text that starts at code point ``base``, with their places."""
+def _terms(text: str) -> F.Column:
+    """Different terms of a text, in lower case."""
+    return F.array_distinct(F.expr(f"regexp_extract_all(lower({text}), '{TERM}', 0)".replace("\\", "\\\\")))
+
+
+def _places() -> str:
+    """SQL: where the terms in ``wanted`` stand in ``t``."""
     lit = "'" + TERM.replace("\\", "\\\\") + "'"
-    return f"""aggregate(zip_with(regexp_extract_all(piece, {lit}, 0), slice(split(piece, {lit}, -1), 1, size(regexp_extract_all(piece, {lit}, 0))), (m, gap) -> struct(m AS m, length(gap) AS g)),
-      named_struct('at', base, 'out', CAST(array() AS array<struct<term:string,start:int,end:int>>)),
-      (acc, x) -> named_struct('at', acc.at + x.g + length(x.m), 'out', array_append(acc.out, named_struct('term', lower(x.m), 'start', acc.at + x.g, 'end', acc.at + x.g + length(x.m)))),
+    return f"""aggregate(zip_with(regexp_extract_all(t, {lit}, 0), slice(split(t, {lit}, -1), 1, size(regexp_extract_all(t, {lit}, 0))), (m, gap) -> struct(m AS m, length(gap) AS g)),
+      named_struct('at', 0, 'out', CAST(array() AS array<struct<start:int,end:int>>)),
+      (acc, x) -> named_struct('at', acc.at + x.g + length(x.m), 'out',
+        IF(array_contains(wanted, lower(x.m)), array_append(acc.out, named_struct('start', acc.at + x.g, 'end', acc.at + x.g + length(x.m))), acc.out)),
       acc -> acc.out)"""
 
 
 def disclosing_spans(base: DataFrame, docs: DataFrame, text_col: str = "text", threshold: float = 0.8, min_contexts: int = 3) -> DataFrame:
-    """``tkey, start, end``: terms near a mention that disclose its value.
+    """``tkey, start, end``: every occurrence, in any text, of a term that discloses a value.
 
-    A term counts where it stands within ``REACH`` code points of a mention. It needs ``min_contexts``
-    different surroundings with the same value (copies of one text are one), and to disclose
-    ``threshold`` of its bits. Terms that overlap a base span are left to it.
+    A term counts once in each text that mentions the value, at any distance. It needs ``min_contexts``
+    different texts with the same value (copies of one text are one), and to disclose ``threshold`` of its
+    bits. Terms that overlap a base span are left to it.
     """
-    one = base.where("near IS NOT NULL").dropDuplicates(["tkey"])
-    sides = one.select("tkey", "spans", F.explode("near").alias("c")).select(
-        "tkey", "spans", "c.value", F.explode(F.array(F.struct(F.col("c.from").alias("base"), F.col("c.left").alias("piece"), F.lit(0).alias("side")), F.struct(F.col("c.to").alias("base"), F.col("c.right").alias("piece"), F.lit(1).alias("side")))).alias("p")
-    )
-    words = sides.select("tkey", "spans", "value", F.xxhash64("p.piece").alias("ctx"), "p.side", F.col("p.base").alias("base"), F.col("p.piece").alias("piece")).withColumn("w", F.explode(F.expr(_words_near())))
-    edge = "(side = 0 AND base > 0 AND w.start = base) OR (side = 1 AND length(piece) = %d AND w.end = base + length(piece))" % REACH
-    words = words.where(f"NOT ({edge})").where("NOT exists(spans, s -> s.start < w.end AND w.start < s.end)")
-    words = stage(words.select("tkey", "value", "ctx", "w.term", "w.start", "w.end"), "nearwords")
-    copies = base.where("near IS NOT NULL").groupBy("tkey").agg(F.count("*").alias("copies"))
-    per_text = words.groupBy("value", "term", "tkey").agg(F.min("ctx").alias("ctx")).join(copies, "tkey")
-    joint = per_text.groupBy("value", "term").agg(F.sum("copies").alias("joint"), F.countDistinct("ctx").alias("ctxs")).where(F.col("ctxs") >= min_contexts)
-    joint = stage(joint, "joint")
+    one = base.where("body IS NOT NULL").dropDuplicates(["tkey"])
+    copies = base.where("body IS NOT NULL").groupBy("tkey").agg(F.count("*").alias("copies"))
+    values = one.select("tkey", F.explode(F.expr("array_distinct(transform(spans, s -> s.value))")).alias("value")).join(copies, "tkey")
+    values = stage(values, "values")
+    mentions = values.groupBy("value").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= min_contexts)
+    mentions = stage(mentions.select("value", "n_e"), "mentions")
+    several = values.join(mentions.select("value"), "value")  # the other values can't have a term in enough texts
+    words = one.select("tkey", F.explode(_terms("body")).alias("term")).join(several.select("tkey").distinct(), "tkey")
+    joint = several.join(words, "tkey").groupBy("value", "term").agg(F.sum("copies").alias("joint"), F.count("*").alias("texts"))
+    joint = stage(joint.where(F.col("texts") >= min_contexts).select("value", "term", "joint"), "joint")
     terms = stage(joint.select("term").distinct(), "terms")
     n_terms = terms.count()
+    nothing = base.limit(0).select("tkey", F.lit(0).alias("start"), F.lit(0).alias("end"))
     if n_terms == 0:
-        return words.limit(0).select("tkey", "start", "end")
-    mentions = words.select("value", "tkey").distinct().join(copies, "tkey").groupBy("value").agg(F.sum("copies").alias("n_e"))
-    seen = docs.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower({text_col}), '{TERM}', 0)".replace("\\", "\\\\")))).alias("term"))
+        return nothing
+    seen = docs.select(F.explode(_terms(text_col)).alias("term"))
     df = seen.groupBy("term").agg(F.count("*").alias("df")).join(small(terms, n_terms), "term")  # unique terms; a semi join would be pushed below the counts
     n_docs = docs.count()
     shares = joint.join(mentions, "value").join(df, "term")
     p_e = F.least(F.col("n_e") / F.lit(float(n_docs)), F.lit(0.5))
     disclosed = F.log(F.least(F.col("joint") / F.greatest("df", "joint"), F.lit(1.0)) / p_e) / -F.log(p_e)
-    telling = shares.where(disclosed >= threshold).select("value", "term")
-    return words.join(telling, ["value", "term"], "left_semi").select("tkey", "start", "end").distinct()
+    telling = stage(shares.where(disclosed >= threshold).select("term").distinct(), "telling")
+    n_telling = telling.count()
+    if n_telling == 0:
+        return nothing
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("tkey", F.xxhash64("t"))
+    holding = texts.select("tkey", F.explode(_terms("t")).alias("term")).join(small(telling, n_telling), "term")
+    holding = stage(holding.groupBy("tkey").agg(F.collect_set("term").alias("wanted")), "holding")
+    n_holding = holding.count()
+    spans = base.join(small(holding.select("tkey"), n_holding), "tkey").select("tkey", "spans").dropDuplicates(["tkey"])
+    placed = texts.join(small(holding, n_holding), "tkey").dropDuplicates(["tkey"]).select("tkey", F.explode(F.expr(_places())).alias("w"))
+    placed = placed.join(spans, "tkey").where("NOT exists(spans, s -> s.start < w.end AND w.start < s.end)")
+    return placed.select("tkey", "w.start", "w.end")
 
 
 def find_private_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, min_contexts: int = 3) -> DataFrame:

@@ -109,7 +109,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Exact repeats of that row are dropped too (rows agreeing on id and text are taken as the same).
     """
-    groups = stage(simhash_groups(docs, id_col, text_col, max_bits), "groups")
+    return keep_first(docs, stage(simhash_groups(docs, id_col, text_col, max_bits), "groups"), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The first row of each group of ``groups`` (``id_col, text_hash, root``, staged), as ``drop_near_duplicates`` keeps it."""
     order = F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.col("text_hash").alias("t"))).alias("k")
     keep = groups.groupBy("root").agg(order).select(F.col("k.i").alias("__i"), F.col("k.t").alias("__t"))
     match = lambda a, b: (F.col(f"{a}.__h") == F.col(f"{b}.__t")) & F.col(f"{a}.`{id_col}`").eqNullSafe(F.col(f"{b}.__i"))

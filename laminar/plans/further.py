@@ -69,7 +69,7 @@ def mask_preserved(spark, sf_dir):
 
 @register("voxel_components")
 def voxel_components(spark, sf_dir):
-    return voxels.voxel_components(A.voxels(spark, sf_dir).where("pred > 0 AND (y * 7 + x * 3) % 5 < 3"), 32, 32)
+    return voxels.voxel_components(A.voxels(spark, sf_dir).where("pred > 0"), 32, 32)
 
 
 @register("axis_documents", "SELECT l_suppkey % 10 AS g, count(DISTINCT l_linenumber) AS n_points FROM lineitem GROUP BY 1")

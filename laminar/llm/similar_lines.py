@@ -15,13 +15,12 @@ Under each key all are compared with one member first; then only those that are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from laminar.graph import connected_components
 from laminar.llm.line_dedup import without_lines
-from laminar.llm.pigeonhole import small
-from laminar.storage import stage
+from laminar.storage import discard, stage
 
 SHORT = 72
 SIMILARITY = 0.9  # the keys are made for it
@@ -69,18 +68,26 @@ def _long_keys(classes: DataFrame) -> DataFrame:
     return words.union(chars).select("key", "h", "len", F.lit(INDEX | PROBE).alias("role"))
 
 
+def _grams(text: str) -> str:
+    """SQL: hashes of the runs of five characters of a text."""
+    return f"transform(array(split({text}, '')), c -> {_runs('c', 5)})[0]"
+
+
 def similar_classes(classes: DataFrame) -> DataFrame:
     """``h, g``: classes (``h, form, len``, staged) that reach others by links of similarity 0.9, and their group."""
-    keys = _short_keys(classes).union(_long_keys(classes)).repartition("key")
-    held = keys.groupBy("key").agg(F.min(F.when(F.col("role").bitwiseAND(INDEX) > 0, F.col("h"))).alias("hub"), F.min("h").alias("a"), F.max("h").alias("b"))
-    held = stage(held.where("hub IS NOT NULL AND a != b").select("key", "hub"), "linekeys")
-    members = stage(keys.join(small(held, held.count()), "key"), "linemembers")
+    keys = _short_keys(classes).union(_long_keys(classes))
+    key = Window.partitionBy("key")
+    hub = F.min(F.when(F.col("role").bitwiseAND(INDEX) > 0, F.col("h"))).over(key)
+    held = keys.withColumns({"hub": hub, "a": F.min("h").over(key), "b": F.max("h").over(key)})
+    members = stage(held.where("hub IS NOT NULL AND a != b").drop("a", "b"), "linemembers")
     fits = f"least(l1, l2) >= {SIMILARITY} * greatest(l1, l2) - 1e-9"
     room = F.floor((1 - SIMILARITY) * F.greatest("l1", "l2") + 1e-9).cast("int")
     x, y = classes.select(F.col("h").alias("h1"), F.col("form").alias("t1")), classes.select(F.col("h").alias("h2"), F.col("form").alias("t2"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        far = pairs.join(x, "h1").join(y, "h2").withColumn("room", room).withColumn("d", F.expr("levenshtein(t1, t2, room)"))
+        far = pairs.join(x, "h1").join(y, "h2").withColumn("room", room)
+        # long lines by their five-character runs first: an edit changes five of them at most
+        far = far.where(f"greatest(l1, l2) < 160 OR size(array_except({_grams('t1')}, {_grams('t2')})) <= 5 * room").withColumn("d", F.expr("levenshtein(t1, t2, room)"))
         return stage(far.where("d >= 0").select(F.col("h1").alias("src"), F.col("h2").alias("dst")), "lineedges")
 
     lengths = classes.select(F.col("h").alias("h1"), F.col("len").alias("l1"))
@@ -108,10 +115,12 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     line number) stays. Rows that agree on id and text are one document; a null id sorts last.
     """
     rows = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = stage(rows.select("doc_id", "th", "pos", form(F.col("line")).alias("form")).where("form != ''").withColumn("h", F.xxhash64("form")), "lines")
-    classes = stage(lines.select("h", "form").distinct().withColumn("len", F.length("form")), "lineclasses")
+    texts = stage(rows.select("doc_id", "th", "pos", form(F.col("line")).alias("form")).where("form != ''").withColumn("h", F.xxhash64("form")), "lines")
+    classes = stage(texts.select("h", "form").distinct().withColumn("len", F.length("form")), "lineclasses")
+    lines = stage(texts.drop("form"), "lineplaces")
+    discard(texts)
     groups = similar_classes(classes)
-    placed = lines.select("doc_id", "th", "pos", "h").join(groups, "h", "left").withColumn("g", F.coalesce("g", "h"))
+    placed = lines.join(groups, "h", "left").withColumn("g", F.coalesce("g", "h"))
     placed = stage(placed.select("g", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "pos").alias("o")), "placed")
     first = placed.groupBy("g").agg(F.min("o").alias("keep"), F.count("*").alias("k")).where("k > 1").select("g", "keep")
     dropped = placed.join(first, "g").where(~F.col("o").eqNullSafe(F.col("keep")))

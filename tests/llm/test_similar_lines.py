@@ -114,3 +114,11 @@ def test_odd_rows(make_docs):
     assert got[1][0]["text"] is None and got[2][0]["text"] == "" and got[9][0]["text"] == "\n \n"
     assert [r["__removed"] for r in got[4]] == [0, 0] and got[5][0]["text"] == ""
     assert dedup_similar_lines(docs.where(F.lit(False))).count() == 0
+
+
+def test_numbers_count_and_every_repeated_line_goes(make_docs):
+    tables = ["total of 2019 12 55 731", "total of 8406 97 31 248", "x = a + b", "x = a - b"]
+    repeats = ["Menu", "1 2 3", "----", "版权所有"]
+    docs = make_docs([(1, "\n".join(tables + repeats)), (2, "\n".join(repeats) + "\nlast words"), (3, "Menu\nMENU \n\n")])
+    got = {r["doc_id"]: r["text"] for r in dedup_similar_lines(docs).collect()}
+    assert got == {1: "\n".join(tables + repeats), 2: "last words", 3: "\n"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminar.llm import embedding_dedup, mips_search, mixing, packing, private_data, quality_ranking, similar_lines, simhash_dedup, token_counts, url_reputation
+from laminar.llm import embedding_dedup, line_dedup, mips_search, mixing, packing, private_data, quality_ranking, simhash_dedup, token_counts, url_reputation
 from laminar.session import ship
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -50,8 +50,8 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = similar_lines.dedup_similar_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    out = line_dedup.kept_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laminar.llm.pigeonhole import small
+from laminar.llm.sieve import sieve
 from laminar.storage import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -92,26 +93,19 @@ def disclosing_spans(base: DataFrame, docs: DataFrame, text_col: str = "text", t
     joint = several.join(words, "tkey").groupBy("value", "term").agg(F.sum("copies").alias("joint"), F.count("*").alias("texts"))
     joint = stage(joint.where(F.col("texts") >= min_contexts).select("value", "term", "joint"), "joint")
     terms = stage(joint.select("term").distinct(), "terms")
-    n_terms = terms.count()
-    nothing = base.limit(0).select("tkey", F.lit(0).alias("start"), F.lit(0).alias("end"))
-    if n_terms == 0:
-        return nothing
-    seen = docs.select(F.explode(_terms(text_col)).alias("term"))
-    df = seen.groupBy("term").agg(F.count("*").alias("df")).join(small(terms, n_terms), "term")  # unique terms; a semi join would be pushed below the counts
+    seen = sieve(docs.select(F.explode(_terms(text_col)).alias("term")), "term", terms)
+    df = seen.groupBy("term").agg(F.count("*").alias("df"))  # counted before the join: a row a term
     n_docs = docs.count()
     shares = joint.join(mentions, "value").join(df, "term")
     p_e = F.least(F.col("n_e") / F.lit(float(n_docs)), F.lit(0.5))
     disclosed = F.log(F.least(F.col("joint") / F.greatest("df", "joint"), F.lit(1.0)) / p_e) / -F.log(p_e)
     telling = stage(shares.where(disclosed >= threshold).select("term").distinct(), "telling")
-    n_telling = telling.count()
-    if n_telling == 0:
-        return nothing
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("tkey", F.xxhash64("t"))
-    holding = texts.select("tkey", F.explode(_terms("t")).alias("term")).join(small(telling, n_telling), "term")
+    holding = sieve(texts.select("tkey", F.explode(_terms("t")).alias("term")), "term", telling).join(telling, "term")
     holding = stage(holding.groupBy("tkey").agg(F.collect_set("term").alias("wanted")), "holding")
-    n_holding = holding.count()
-    spans = base.join(small(holding.select("tkey"), n_holding), "tkey").select("tkey", "spans").dropDuplicates(["tkey"])
-    placed = texts.join(small(holding, n_holding), "tkey").dropDuplicates(["tkey"]).select("tkey", F.explode(F.expr(_places())).alias("w"))
+    spans = sieve(base.select("tkey", "spans"), "tkey", holding).dropDuplicates(["tkey"])
+    one = sieve(texts, "tkey", holding).dropDuplicates(["tkey"])  # copies go before the shuffle
+    placed = one.join(holding, "tkey").select("tkey", F.explode(F.expr(_places())).alias("w"))
     placed = placed.join(spans, "tkey").where("NOT exists(spans, s -> s.start < w.end AND w.start < s.end)")
     return placed.select("tkey", "w.start", "w.end")
 

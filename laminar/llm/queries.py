@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laminar.llm import embedding_dedup, line_dedup, mips_search, mixing, packing, private_data, quality_ranking, simhash_dedup, token_counts, url_reputation
 from laminar.session import ship
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,7 +104,7 @@ r AS (SELECT p.*, low,
        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
   FROM p JOIN lo USING (host))
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN low > (SELECT max(above) FROM s1) THEN 'block' ELSE 'allow' END AS verdict,
   round(low, 6) AS bad_low
 FROM r
 """

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from laminar.storage import stage
+
 # The rules (verdict, host, path prefix).
 RULES = (
     ("allow", "org", "/"),
@@ -46,7 +48,7 @@ def _strength(counts: DataFrame, mean: str, least: float, most: float) -> DataFr
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, least: float = 2.0, most: float = 500.0) -> DataFrame:
-    """Per host: ``host, n, bad, mean, low``: labelled outcomes, posterior mean and lower bound of the bad share.
+    """Per host: ``host, n, bad, mean, low, base``: labelled outcomes, posterior mean and lower bound of the bad share, share of all pages.
 
     ``pages`` has ``page_id, host``; ``outcomes`` has ``page_id, bad`` (0 or 1). Each level's prior is a
     beta with the mean of the level above (all pages, suffix, registered domain) and a strength estimated
@@ -58,6 +60,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, lea
     labelled = pages.select("page_id", "host").join(outcomes, "page_id", "left")
     hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
     hosts = hosts.withColumns({"n": F.col("n").cast("double"), "suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)})
+    hosts = stage(hosts, "hosts")  # every level reads it several times
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     top = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1.0)).alias("above"))
@@ -72,19 +75,20 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, lea
     d = level(domains, s, ["suffix"]).select("suffix", "domain", F.col("mean").alias("above"))
     h = level(hosts, d, ["suffix", "domain"])
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("k") + 1))
-    return h.select("host", "n", "bad", "mean", (F.col("mean") - z * sd).alias("low"))
+    base = F.broadcast(top.select(F.col("above").alias("base")))  # one row
+    return h.crossJoin(base).select("host", "n", "bad", "mean", (F.col("mean") - z * sd).alias("low"), "base")
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, max_bad: float = 0.5, rules: tuple = RULES, z: float = 1.645) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, max_bad: float | None = None, rules: tuple = RULES, z: float = 1.645) -> DataFrame:
     """``page_id, host, path, rule, verdict, bad_low`` for each row of ``pages``.
 
     The longest fitting rule decides; otherwise a page is blocked when the lower bound of its host's bad
-    share is above ``max_bad``. Outcomes are one per page id (the worst, if several); outcomes of unknown
+    share is above ``max_bad``, by default the bad share of all pages: a host that is worse than the rest beyond doubt. Outcomes are one per page id (the worst, if several); outcomes of unknown
     pages and null ids or values are ignored. Repeated rows give a row each. Other columns are not read.
     """
     parsed = split_url(pages.select("page_id", "url")).select("page_id", "host", "path")
     worst = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
-    known = host_reputation(parsed, worst, z).select("host", "low")
+    known = host_reputation(parsed, worst, z).select("host", "low", "base")
     rule, verdict = rule_columns(rules)
-    mine = F.when(F.col("low") > max_bad, "block").otherwise("allow")
+    mine = F.when(F.col("low") > (F.col("base") if max_bad is None else F.lit(max_bad)), "block").otherwise("allow")
     return parsed.join(known, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, mine).alias("verdict"), F.round("low", 6).alias("bad_low"))

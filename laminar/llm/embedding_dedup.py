@@ -112,9 +112,9 @@ def near_duplicate_vectors(
     Vectors link at a cosine of ``cosine`` or more; ``n_links`` counts the other rows linked directly,
     ``component_id`` is the smallest id reachable, ``kept`` marks that row. Null, zero, empty and
     non-finite vectors link with nothing and are their own component. Equal vectors are one class, searched
-    once and counted by its size. Vectors of other than the most common length take no part in linking.
+    once and counted by its size; a pair that either side's visits reach counts for both. Vectors of other than the most common length take no part in linking.
     Rows that repeat an id are one row (of the smallest vector); null ids are left out. A crowded cell is
-    dealt into blocks of about ``BLOCK`` vectors, and each pair of blocks returns counts and a spanning
+    dealt into blocks of about ``BLOCK`` vectors, its seekers too, and each pair of blocks returns counts and a spanning
     forest, never its pairs. The codebooks are fit on the ``sample_rows`` vectors of smallest hash.
     """
     ids = table.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
@@ -143,17 +143,20 @@ def near_duplicate_vectors(
 
     listed = stage(classes.mapInPandas(lists, "rep long, m long, u binary, own long, shelf long, shelves array<long>, cells array<long>"), "listed")
     crowd = {r["shelf"]: -(-r["count"] // BLOCK) for r in listed.groupBy("shelf").count().collect()}  # one row per codeword: 512 at most
-    blocks = F.create_map(*[F.lit(x) for pair in crowd.items() for x in pair])
-    block = F.pmod(F.xxhash64("rep"), blocks[F.col("shelf")])
-    members = listed.select("shelf", block.alias("block"), F.lit(0).alias("part"), "rep", "m", "u", "own", F.array().cast("array<long>").alias("cells"))
+    visits = listed.select(F.explode("shelves").alias("shelf")).groupBy("shelf").count().collect()
+    asking = {r["shelf"]: -(-r["count"] // BLOCK) for r in visits if r["shelf"] in crowd}
+    blocks, parts = (F.create_map(*[F.lit(x) for pair in held.items() for x in pair]) for held in (crowd, asking or {-1: 1}))
+    block, part = F.pmod(F.xxhash64("rep"), blocks[F.col("shelf")]), F.pmod(F.xxhash64("rep", F.lit(1)), parts[F.col("shelf")])
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    # a shelf is dealt into blocks of members by blocks of seekers, so that no group grows with it
+    members = listed.where(parts[F.col("shelf")].isNotNull()).select("shelf", block.cast("long").alias("block"), every(parts[F.col("shelf")]).alias("part"), F.lit(0).alias("asks"), "rep", "m", "u", "own", F.array().cast("array<long>").alias("cells"))
     seekers = listed.select(F.explode("shelves").alias("shelf"), "rep", "m", "u", "own", "cells").where(blocks[F.col("shelf")].isNotNull())
     seekers = seekers.withColumn("cells", F.filter("cells", lambda c: F.floor(c / n_second) == F.col("shelf")))
-    seekers = seekers.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("shelf")] - 1))).withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(64)))
-    both = members.unionByName(seekers.select(*[F.lit(1).alias("part") if c == "part" else c for c in members.columns]))
+    seekers = seekers.select("shelf", every(blocks[F.col("shelf")]).alias("block"), part.cast("long").alias("part"), F.lit(1).alias("asks"), "rep", "m", "u", "own", "cells")
+    both = members.unionByName(seekers)
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
-        known, asks = group[group["part"] == 0], group[group["part"] == 1]
-        seen: list = []
+        known, asks = group[group["asks"] == 0], group[group["asks"] == 1]
         rows, counts, edges = [], [], []
         if len(known) and len(asks):
             known = known.sort_values("rep")
@@ -162,19 +165,24 @@ def near_duplicate_vectors(
             for at in range(0, len(asks), BLOCK):
                 q = asks.iloc[at : at + BLOCK]
                 qu = np.frombuffer(b"".join(q["u"]), dtype=np.float64).reshape(len(q), -1)
+                q_ids, q_own, q_m = q["rep"].to_numpy(), q["own"].to_numpy(), q["m"].to_numpy()
                 link = qu @ mu.T >= cosine
-                link &= q["rep"].to_numpy()[:, None] != ids_[None, :]
+                link &= q_ids[:, None] != ids_[None, :]
                 for r in np.flatnonzero(link.any(1)):
                     link[r] &= np.isin(own, q["cells"].iloc[r])
-                found = link @ m
-                hit = np.flatnonzero(found)
-                rows.extend(q["rep"].to_numpy()[hit].tolist())
-                counts.extend(found[hit].tolist())
-                edges.extend(_forest(link, q["rep"].to_numpy(), ids_))
+                met = np.flatnonzero(link.any(0))
+                alone = link[:, met]
+                for j, visited in enumerate(index.visit(mu[met]) if len(met) else []):
+                    alone[:, j] &= ~np.isin(q_own, visited)  # the member does not find these seekers itself
+                for who, found in ((q_ids, link @ m), (ids_[met], q_m @ alone)):
+                    hit = np.flatnonzero(found)
+                    rows.extend(who[hit].tolist())
+                    counts.extend(found[hit].tolist())
+                edges.extend(_forest(link, q_ids, ids_))
         seen = [(a, c, None) for a, c in zip(rows, counts, strict=True)] + [(a, None, b) for a, b in edges]
         return pd.DataFrame(seen, columns=["rep", "found", "other"]).astype({"rep": "int64", "found": "Int64", "other": "Int64"})
 
-    found = stage(both.groupBy("shelf", "block").applyInPandas(verify, "rep long, found long, other long"), "found")
+    found = stage(both.groupBy("shelf", "block", "part").applyInPandas(verify, "rep long, found long, other long"), "found")
     links = found.where("found IS NOT NULL").groupBy("rep").agg(F.sum("found").alias("far"))
     comps = connected_components(found.where("other IS NOT NULL").select(F.col("rep").alias("src"), F.col("other").alias("dst")))
     per_class = classes.join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")

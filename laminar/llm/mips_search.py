@@ -23,7 +23,6 @@ from laminar.storage import stage
 SAMPLE = 20_000
 QUERY_BLOCK = 512
 SHARD = 16_384
-SHARDS = 64
 
 
 class AnisotropicCoder:
@@ -148,7 +147,7 @@ def search(
     learn = sample(classes, sample_rows)
     coder = AnisotropicCoder(learn)
     error = coder.error(learn[:4000], k)
-    shards = int(min(SHARDS, max(1, -(-n // SHARD))))
+    shards = int(max(1, -(-n // SHARD)))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

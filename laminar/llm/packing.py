@@ -3,7 +3,8 @@
 Several sequence lengths are permitted at once. Documents are measured in words, cut into pieces of the
 largest length, and dealt by hash into shards of a bounded number of pieces; each shard is packed by
 itself with best-fit decreasing: a piece goes into the open bin that it leaves fullest, and where none
-has room the bin size of least cost per word it is expected to hold is opened. At the end every bin is
+has room, every permitted size is filled in thought with the largest pieces that still wait, and the one
+of least cost per word is opened: the sizes are chosen jointly with what is to go into them. At the end every bin is
 downsized to the smallest permitted length that holds its contents.
 """
 
@@ -40,9 +41,25 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tuple
     used: list[int] = []
     stacks: dict[int, list[int]] = {}
     rooms = 0
-    remaining = int(lengths.sum())
+    held = np.bincount(lengths.astype(np.int64), minlength=1).tolist() if len(lengths) else []
+    left = sum(1 << n for n, c in enumerate(held) if c)  # lengths that still wait, as a bit set
+
+    def price(capacity: int, n: int) -> float:
+        """Cost per word of a bin of ``capacity`` opened for ``n``, filled with the largest waiting pieces that fit, then downsized."""
+        full, waits, taken = n, left, {}
+        while full < capacity and (fits := waits & ((2 << (capacity - full)) - 1)):
+            m = fits.bit_length() - 1
+            many = min((capacity - full) // m, held[m] - taken.get(m, 0))
+            full += many * m
+            taken[m] = taken.get(m, 0) + many
+            waits &= ~(1 << m)
+        return costs[next(i for i, c in enumerate(capacities) if c >= full)] / full
+
     for k in order:
         n = int(lengths[k])
+        held[n] -= 1
+        if not held[n]:
+            left &= ~(1 << n)
         fit = rooms >> n
         if fit:
             room = n + (fit & -fit).bit_length() - 1
@@ -50,12 +67,11 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tuple
             if not stacks[room]:
                 rooms &= ~(1 << room)
         else:
-            best = min((i for i, c in enumerate(capacities) if c >= n), key=lambda i: (costs[i] / min(capacities[i], remaining), i))
+            best = min((i for i, c in enumerate(capacities) if c >= n), key=lambda i: (price(capacities[i], n), i))
             b, room = len(used), capacities[best]
             used.append(0)
         bins[k] = b
         used[b] += n
-        remaining -= n
         room -= n
         if room:
             stacks.setdefault(room, []).append(b)

@@ -13,10 +13,36 @@ from laminar.llm.queries import op2_best_fit_packing
 from .conftest import ODD
 
 
+def _price(capacity, n, waiting, capacities):
+    """Cost per word of a bin opened for ``n`` and filled with the largest waiting pieces (sorted downwards) that fit."""
+    full = n
+    for m in waiting:
+        if full + m <= capacity:
+            full += m
+    return bin_cost(min(c for c in capacities if c >= full)) / full
+
+
+def _cost(bins, sizes):
+    return sum(bin_cost(int(c)) for c in sizes)
+
+
+def test_several_sizes_beat_any_single_one():
+    """Pieces that fill different sizes: several are opened, at less cost than with any one size alone."""
+    rng = np.random.default_rng(4)
+    lengths = np.concatenate([np.full(60, 1000), np.full(40, 500), np.full(30, 250), np.full(5, 1900), rng.integers(30, 250, 50)]).astype(np.int64)
+    bins, sizes = pack(lengths)
+    assert len(set(sizes.tolist())) > 1
+    used = np.bincount(bins, weights=lengths)
+    for one in (c for c in CAPACITIES if c >= lengths.max()):
+        alone, _ = pack(lengths, (one,))
+        assert _cost(bins, sizes) < bin_cost(one) * len(set(alone.tolist()))
+    assert (used <= sizes).all()
+
+
 def slow_pack(lengths, capacities):
     """Best fit by looking at every open bin."""
     order = sorted(range(len(lengths)), key=lambda k: (-lengths[k], k))
-    bins, room, at, left = [], [], [0] * len(lengths), sum(lengths)
+    bins, room, at = [], [], [0] * len(lengths)
     for k in order:
         n = lengths[k]
         open_ = [(room[b], b) for b in range(len(bins)) if room[b] >= n]
@@ -25,7 +51,7 @@ def slow_pack(lengths, capacities):
             b = [b for r, b in open_ if r == tight]
             b = b[-1] if len(b) == 1 else None
         else:
-            c = min((c for c in capacities if c >= n), key=lambda c: (bin_cost(c) / min(c, left), c))
+            c = min((c for c in capacities if c >= n), key=lambda c: (_price(c, n, [lengths[j] for j in order[order.index(k) + 1 :]], capacities), c))
             bins.append(0)
             room.append(c)
             b = len(bins) - 1
@@ -34,7 +60,6 @@ def slow_pack(lengths, capacities):
         bins[b] += n
         room[b] -= n
         at[k] = b
-        left -= n
     return at, [min(c for c in capacities if c >= u) for u in bins]
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from laminar.storage import stage
+
 from laminar.functions.columns import closed_bucket, half_even
 
 
@@ -159,26 +161,39 @@ def stratified(rows: DataFrame, by: list[str], order: str, want: int) -> DataFra
     return placed.where((F.col("__n") <= want) | (F.col("__r") == 0) | (slot != before)).drop("__r", "__n")
 
 
-def spaced_points(points: DataFrame, k: int = 20, apart: float = 5.0) -> DataFrame:
-    """Up to ``k`` points per ``gid``, no two closer than ``apart``, in hash order (``gid, z, y, x``).
+def spaced_points(points: DataFrame, k: int = 20, apart: float = 5.0, batch: int = 4000) -> DataFrame:
+    """Up to ``k`` points per ``gid``, no two closer than ``apart``, greedily in hash order (``gid, z, y, x``).
 
-    Sequential within an instance; its candidates are thinned to a bounded number first.
+    Sequential within an instance, ``batch`` candidates at a time: where an instance has more, those near a chosen
+    point go by a join with the at most ``k`` chosen ones, and the next batch follows until ``k`` are found or no
+    candidate is left. Every batch but the last adds a point, so ``k`` rounds suffice.
     """
-    order = F.xxhash64("gid", "z", "y", "x")
-    rank = F.row_number().over(Window.partitionBy("gid").orderBy("__h", "z", "y", "x"))
-    few = points.select("gid", "z", "y", "x").withColumn("__h", order).withColumn("__r", rank).where(F.col("__r") <= 200 * k)
+    left = points.select("gid", "z", "y", "x").distinct().withColumns({"__h": F.xxhash64("gid", "z", "y", "x"), "__need": F.lit(k)})
+    order = Window.partitionBy("gid").orderBy("__h", "z", "y", "x")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("__r")[["z", "y", "x"]].to_numpy(dtype=np.float64)
+        pdf = pdf.sort_values(["__h", "z", "y", "x"])
+        p = pdf[["z", "y", "x"]].to_numpy(dtype=np.float64)
         chosen: list[int] = []
         for i in range(len(p)):
-            if len(chosen) == k:
+            if len(chosen) == pdf["__need"].iloc[0]:
                 break
             if not chosen or (((p[chosen] - p[i]) ** 2).sum(1) >= apart * apart).all():
                 chosen.append(i)
-        return pdf.sort_values("__r").iloc[chosen][["gid", "z", "y", "x"]]
-
-    return few.groupBy("gid").applyInPandas(one, "gid long, z long, y long, x long")
+        return pdf.iloc[chosen][["gid", "z", "y", "x"]]
+
+    found = None
+    while True:
+        ranked = left.withColumn("__r", F.row_number().over(order))
+        more = (left.groupBy("gid").count().agg(F.max("count")).first()[0] or 0) > batch
+        new = ranked.where(F.col("__r") <= batch).drop("__r").groupBy("gid").applyInPandas(one, "gid long, z long, y long, x long")
+        if not more:
+            return new if found is None else found.unionByName(new)
+        found = stage(new if found is None else found.unionByName(new), "spaced")
+        near = found.groupBy("gid").agg(F.collect_list(F.struct("z", "y", "x")).alias("__c"))  # k at most
+        rest = ranked.where(F.col("__r") > batch).drop("__r", "__need").join(near, "gid").where(F.size("__c") < k)
+        far = F.expr(f"NOT exists(__c, c -> (c.z - z) * (c.z - z) + (c.y - y) * (c.y - y) + (c.x - x) * (c.x - x) < {float(apart * apart)})")
+        left = stage(rest.where(far).select("gid", "z", "y", "x", "__h", (F.lit(k) - F.size("__c")).alias("__need")), "spacedleft")
 
 
 def circular_peak(counts: DataFrame, by: list[str], bins: int, width: int) -> DataFrame:

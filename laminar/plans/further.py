@@ -37,7 +37,7 @@ def mean_angles(spark, sf_dir):
     return spiral.mean_angle(li, ["g"], "t").withColumn("theta", F.round("theta", 6))
 
 
-_PATCH = """g AS (SELECT CAST(slab AS VARCHAR) AS uuid, y AS z, x AS bin, CAST(gid AS DOUBLE) AS r FROM canvas WHERE y < 30 AND x < 30 AND gid IS NOT NULL),
+_PATCH = """g AS (SELECT CAST(slab AS VARCHAR) AS uuid, y AS z, x AS bin, CAST(gid AS DOUBLE) AS r FROM canvas WHERE gid IS NOT NULL),
 v AS (SELECT uuid, dense_rank() OVER (PARTITION BY uuid ORDER BY z) - 1 AS rw, dense_rank() OVER (PARTITION BY uuid ORDER BY bin) - 1 AS cl, z FROM g)"""
 
 
@@ -47,7 +47,7 @@ v AS (SELECT uuid, dense_rank() OVER (PARTITION BY uuid ORDER BY z) - 1 AS rw, d
     SELECT v.uuid, coalesce(max(quads), 0) AS quads, min(z) AS z_min, max(z) AS z_max, coalesce(max(quads), 0) * 4096.0::DOUBLE AS area_vx2, round(coalesce(max(quads), 0) * 4096.0::DOUBLE * 8.64 * 8.64 / 1e8, 9) AS area_cm2 FROM v LEFT JOIN q USING (uuid) GROUP BY v.uuid""",
 )
 def patch_meta(spark, sf_dir):
-    c = A.canvas(spark, sf_dir).where("y < 30 AND x < 30")
+    c = A.canvas(spark, sf_dir)
     g = spiral.patch_grid(c.select(F.col("slab").cast("string").alias("uuid"), F.col("y").alias("z"), F.col("x").alias("bin"), F.col("gid").cast("double").alias("r")), 32, 32, 60)
     return spiral.patch_meta(g).select("uuid", "quads", "z_min", "z_max", "area_vx2", F.round("area_cm2", 9).alias("area_cm2"))
 

@@ -2,11 +2,12 @@
 
 Lineage is cut by writing Parquet and reading it back, so that a lost executor costs a reread and never
 a recomputation of everything before. The folder is ``spark.checkpoint.dir`` of the session; only where
-that is unset (tests, a single machine) a temporary folder is used instead.
+that is unset on a single machine (tests) a temporary folder is used instead; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="laminar-stage-"))
     return _LOCAL[0]
@@ -33,13 +37,19 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a staged table that no later plan reads."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/laminar-" in folder and folder.startswith(root.split("://")[0]):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+def _plain(path: str) -> str:
+    """``path`` without its scheme and repeated slashes."""
+    return re.sub(r"/+", "/", re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:", "", path)).rstrip("/")
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of staged tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        root = _plain(shared_dir(spark)) + "/laminar-"
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if _plain(folder).startswith(root):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)

@@ -103,6 +103,16 @@ def test_spaced_points_keep_their_distance(spark):
         assert len(p) == 10 and d.min() >= 5
 
 
+def test_spaced_points_try_every_candidate(spark):
+    """Dense clumps and repeats: small batches give what one pass over all points in hash order gives."""
+    rows = [(g, z % 40, y, 0) for g in (1, 2) for z in range(80) for y in range(g * 8)] + [(3, 1, 1, 1)] * 50
+    pts = spark.createDataFrame(rows, "gid long, z long, y long, x long")
+    whole = {tuple(r) for r in windings.spaced_points(pts, 12, 5.0).collect()}
+    assert {tuple(r) for r in windings.spaced_points(pts, 12, 5.0, batch=25).collect()} == whole
+    assert len(whole) == 2 * 12 + 1 or len(whole) > 12
+
+
+
 def test_spiral_is_told_from_loops(spark):
     ship(spark)
     rows = [(1, 0, t, 5.0 + 10 * k + t / 6.0) for k in range(3) for t in range(60)] + [(2, 0, t, 5.0 + 10 * k) for k in range(3) for t in range(60)]

@@ -12,11 +12,11 @@ KNOWN = ("name", "points", "metadata", "color")
 def parse(docs: DataFrame) -> DataFrame:
     """``doc, v, kind``: payloads as VARIANT (null: unreadable) and the kind of file they are."""
     v = F.try_parse_json("payload")
-    is_object = F.schema_of_variant(v).startswith("OBJECT")
-    umbilicus = F.expr("try_variant_get(try_parse_json(payload), '$.control_points', 'variant')").isNotNull()
-    collection = F.expr("try_variant_get(try_parse_json(payload), '$.collections', 'variant')").isNotNull() | F.expr("try_variant_get(try_parse_json(payload), '$.vc_pointcollections_json_version', 'variant')").isNotNull()
-    kind = F.when(v.isNull(), "unreadable").when(is_object & umbilicus, "umbilicus").when(is_object & collection, "point_collection").otherwise("unknown")
-    return docs.select("doc", "payload", v.alias("v"), kind.alias("kind"))
+    is_object = F.schema_of_variant("v").startswith("OBJECT")
+    umbilicus = _get("$.control_points").isNotNull()
+    collection = _get("$.collections").isNotNull() | _get("$.vc_pointcollections_json_version").isNotNull()
+    kind = F.when(F.col("v").isNull(), "unreadable").when(is_object & umbilicus, "umbilicus").when(is_object & collection, "point_collection").otherwise("unknown")
+    return docs.select("doc", "payload", v.alias("v")).select("doc", "payload", "v", kind.alias("kind"))
 
 
 def _get(path: str, kind: str = "variant", of: str = "v") -> Column:
@@ -44,42 +44,61 @@ def points(cs: DataFrame) -> DataFrame:
     return one.lateralJoin(one.sparkSession.tvf.variant_explode(F.col("ps").outer())).select("doc", F.col("ckey").alias("key"), F.col("key").alias("point"), F.col("value").alias("p"))
 
 
-def _violation(df: DataFrame, where: Column, severity: str, rule: str, *at: str) -> DataFrame:
+def _rule(where: Column, severity: str, rule: str, *at: str) -> Column:
+    """The broken rule as a struct, null where it holds."""
     place = F.concat_ws("/", *at) if at else F.lit("")
-    return df.where(where).select("doc", place.alias("at"), F.lit(severity).alias("severity"), F.lit(rule).alias("rule"))
+    return F.when(where, F.struct(place.alias("at"), F.lit(severity).alias("severity"), F.lit(rule).alias("rule")))
+
+
+def _broken(df: DataFrame, *rules: Column, more: Column | None = None) -> DataFrame:
+    """``doc, at, severity, rule``: all rules of one level in one pass."""
+    found = F.array_compact(F.array(*rules))
+    return df.select("doc", F.explode(found if more is None else F.concat(found, more)).alias("r")).select("doc", "r.*")
 
 
 def violations(docs: DataFrame) -> DataFrame:
-    """``doc, at, severity, rule`` for documents ``doc, payload``: one branch per rule, all Catalyst."""
+    """``doc, at, severity, rule`` for documents ``doc, payload``: one pass a level (documents, collections, points, axes)."""
     parsed = parse(docs)
     cs = collections(parsed)
     ps = points(cs).withColumn("xyz", _get("$.p", of="p")).withColumn("coords", F.expr("try_variant_get(xyz, '$', 'array<double>')"))
-    version = parsed.where("kind = 'point_collection'").withColumn("ver", _get("$.vc_pointcollections_json_version"))
+    top = parsed.withColumn("ver", _get("$.vc_pointcollections_json_version"))
+    listed = F.col("kind") == "point_collection"
     three = (F.size("coords") == 3) & ~F.exists("coords", lambda x: x.isNull() | F.isnan(x))
     plain = _type("xyz").rlike("^ARRAY<(BIGINT|DOUBLE|DECIMAL)")
+    sound = F.coalesce(plain & three, F.lit(False))
     inside = F.forall(F.arrays_zip(F.col("coords"), F.array(*[F.lit(b) for b in BOUNDS]).alias("b")), lambda t: (t["coords"] >= 0) & (t["coords"] < t["b"]))
     wind = ps.groupBy("doc", "key").agg(F.count(_get("$.wind_a", of="p")).alias("w"), F.count("*").alias("n"))
     umb = parsed.where("kind = 'umbilicus'").withColumn("cp", _get("$.control_points"))
     axis = umb.lateralJoin(umb.sparkSession.tvf.variant_explode(F.col("cp").outer())).select("doc", "pos", F.col("value").alias("p"))
     axis = axis.select("doc", "pos", *[_get(f"$.{a}", "double", "p").alias(a) for a in ("z", "y", "x")])
-    keys = cs.select("doc", "key", F.explode(F.json_object_keys(F.to_json("c"))).alias("field"))
+    unknown = F.filter(F.json_object_keys(F.to_json("c")), lambda f: ~f.isin(*KNOWN))
+    unknown = F.transform(unknown, lambda f: F.struct(F.concat_ws("/", F.col("key"), f).alias("at"), F.lit("warning").alias("severity"), F.lit("unknown_key").alias("rule")))
+    none = F.array().cast("array<struct<at:string,severity:string,rule:string>>")
     parts = [
-        _violation(parsed, F.col("kind") == "unreadable", "error", "unreadable"),
-        _violation(parsed, F.col("kind") == "unknown", "error", "unknown_kind"),
-        _violation(version, F.col("ver").isNull() | ~((_type("ver") == "STRING") & (F.expr("try_variant_get(ver, '$', 'string')") == "1")), "error", "version"),
-        _violation(version, ~F.coalesce(F.schema_of_variant(_get("$.collections")).startswith("OBJECT"), F.lit(False)), "error", "collections"),
-        _violation(cs, ~F.coalesce(F.schema_of_variant(_get("$.name", of="c")) == "STRING", F.lit(False)), "error", "name", "key"),
-        _violation(cs, ~F.coalesce(F.schema_of_variant(_get("$.points", of="c")).startswith("OBJECT"), F.lit(False)), "error", "points", "key"),
-        _violation(cs, ~F.coalesce(F.schema_of_variant(_get("$.metadata", of="c")).startswith("OBJECT"), F.lit(True)), "error", "metadata", "key"),
-        _violation(cs, F.coalesce(_get("$.color", of="c").isNotNull() & (F.size(F.expr("try_variant_get(c, '$.color', 'array<double>')")) != 3), F.lit(False)), "error", "color", "key"),
-        _violation(keys, ~F.col("field").isin(*KNOWN), "warning", "unknown_key", "key", "field"),
-        _violation(ps, ~F.coalesce(plain & three, F.lit(False)), "error", "coordinates", "key", "point"),
-        _violation(ps.where(F.coalesce(plain & three, F.lit(False))), ~inside, "error", "bounds", "key", "point"),
-        _violation(wind, (F.col("w") > 0) & (F.col("w") < F.col("n")), "error", "mixed_wind", "key"),
-        _violation(umb.join(axis.groupBy("doc").count(), "doc", "left"), F.coalesce("count", F.lit(0)) < 2, "error", "too_few_points"),
-        _violation(axis, F.col("z").isNull() | F.col("y").isNull() | F.col("x").isNull(), "error", "axis", "pos"),
-        _violation(axis, ~(F.col("z").between(0, BOUNDS[2]) & F.col("y").between(0, BOUNDS[1]) & F.col("x").between(0, BOUNDS[0])), "error", "axis_bounds", "pos"),
-    ]
+        _broken(
+            top,
+            _rule(F.col("kind") == "unreadable", "error", "unreadable"),
+            _rule(F.col("kind") == "unknown", "error", "unknown_kind"),
+            _rule(listed & (F.col("ver").isNull() | ~((_type("ver") == "STRING") & (F.expr("try_variant_get(ver, '$', 'string')") == "1"))), "error", "version"),
+            _rule(listed & ~F.coalesce(F.schema_of_variant(_get("$.collections")).startswith("OBJECT"), F.lit(False)), "error", "collections"),
+        ),
+        _broken(
+            cs,
+            _rule(~F.coalesce(F.schema_of_variant(_get("$.name", of="c")) == "STRING", F.lit(False)), "error", "name", "key"),
+            _rule(~F.coalesce(F.schema_of_variant(_get("$.points", of="c")).startswith("OBJECT"), F.lit(False)), "error", "points", "key"),
+            _rule(~F.coalesce(F.schema_of_variant(_get("$.metadata", of="c")).startswith("OBJECT"), F.lit(True)), "error", "metadata", "key"),
+            _rule(F.coalesce(_get("$.color", of="c").isNotNull() & (F.size(F.expr("try_variant_get(c, '$.color', 'array<double>')")) != 3), F.lit(False)), "error", "color", "key"),
+            more=F.coalesce(unknown, none),
+        ),
+        _broken(ps, _rule(~sound, "error", "coordinates", "key", "point"), _rule(sound & ~inside, "error", "bounds", "key", "point")),
+        _broken(wind, _rule((F.col("w") > 0) & (F.col("w") < F.col("n")), "error", "mixed_wind", "key")),
+        _broken(umb.join(axis.groupBy("doc").count(), "doc", "left"), _rule(F.coalesce("count", F.lit(0)) < 2, "error", "too_few_points")),
+        _broken(
+            axis,
+            _rule(F.col("z").isNull() | F.col("y").isNull() | F.col("x").isNull(), "error", "axis", "pos"),
+            _rule(~(F.col("z").between(0, BOUNDS[2]) & F.col("y").between(0, BOUNDS[1]) & F.col("x").between(0, BOUNDS[0])), "error", "axis_bounds", "pos"),
+        ),
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminar.llm import embedding_dedup, line_dedup, mips_search, mixing, packing, private_data, quality_ranking, simhash_dedup, token_counts, url_reputation
+from laminar.llm import embedding_dedup, line_dedup, line_quality, mips_search, mixing, oracles, packing, periodic_runs, private_data, quality_ranking, simhash_dedup, token_counts, url_reputation, whitening
 from laminar.session import ship
 
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,7 +29,9 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), TOKENIZER)
+    import public_tokenizers  # needed by this query alone
+
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +67,35 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` whose texts repeat from some word on, in those one of ten documents that their id's checksum picks."""
+    planted = r"""transform(array(filter(split(text, '[ \\x09-\\x0D]+'), x -> x != '')), w -> transform(array(g % size(w)), a ->
+      transform(array(1 + (size(w) - a) div (3 + g % 8)), p -> array_join(transform(w, (x, i) -> IF(i < a, x, w[CAST(a + (i - a) % p AS int)])), ' '))[0])[0])[0]"""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    pick = docs.select("doc_id", "text", h.alias("h"), F.expr("div(crc32(CAST(doc_id AS string)), 10)").alias("g"))
+    return pick.select("doc_id", F.when((F.col("h") % 10 == 0) & F.col("text").rlike(r"[^ \x09-\x0D]"), F.expr(planted)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(_read(spark, sf_dir, "documents")))
+    best = F.expr("array_max(transform(runs, r -> named_struct('l', r.length, 's', -r.start, 'p', -r.period)))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    with_best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    columns = [(-F.col("b.s")).alias("start"), F.col("b.l").alias("length"), (-F.col("b.p")).alias("period"), F.expr("1000 * b.l div -b.p").alias("exponent_milli")]
+    return with_best.select("doc_id", "n_runs", *columns, "runs_sha256", "collapsed_sha256")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_quality.judge_documents(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars", *[f"n_{r}" for r in line_quality.RULES])
+
+
 def queries() -> dict:
-    made = (op1_quality_ranking, op2_best_fit_packing, op3_embedding_dedup, op4_token_counts, op5_url_reputation, op6_inner_product_search, op7_simhash_dedup, op8_fuzzy_lines, op9_private_data, op10_source_mixing)
+    made = (op1_quality_ranking, op2_best_fit_packing, op3_embedding_dedup, op4_token_counts, op5_url_reputation, op6_inner_product_search, op7_simhash_dedup, op8_fuzzy_lines, op9_private_data, op10_source_mixing, op11_periodic_runs, op12_embedding_whitening, op13_line_quality)
     return {f.__name__: f for f in made}
 
 
@@ -112,4 +138,4 @@ FROM r
 
 def oracle_sql() -> dict:
     """Operators that SQL can express; the others are tested against brute force in ``tests/llm``."""
-    return {"op5_url_reputation": OP5_SQL}
+    return {"op5_url_reputation": OP5_SQL, "op11_periodic_runs": oracles.periodic_runs(), "op13_line_quality": oracles.line_quality()}

@@ -1,15 +1,17 @@
 from __future__ import annotations
 
+import public_tokenizers
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from laminar.llm.arrow_text import pieces
-from laminar.llm.queries import TOKENIZER, op4_token_counts
+from laminar.llm.queries import op4_token_counts
 from laminar.llm.token_counts import _count, count_tokens
 
 from .conftest import ODD
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 def _whole(texts):
     from tokenizers import Tokenizer

@@ -48,6 +48,67 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return now.select(F.col("v").alias("node"), F.col("p").alias("component")).union(roots)
 
 
+def offset_components(edges: DataFrame, src: str = "src", dst: str = "dst", delta: str = "delta", order: str = "pos", max_rounds: int = 40) -> DataFrame:
+    """Components with potentials: ``node, component, offset`` along edges that say how much more ``dst`` has than ``src``.
+
+    ``component`` is the smallest node and ``offset`` a node's potential above it, along the tree of edges that come first in
+    ``order`` (ties by src, dst, delta): the tree that takes edges in that order and passes over those whose ends it has joined.
+    Rounds of joins (Boruvka): every component picks its first edge, picks are followed to a root by doubling, edges between the
+    same two components are kept once. Sums are carried along, so no component is ever one group. Self loops and nulls are ignored.
+    """
+    a, b = F.col(src), F.col(dst)
+    given = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(a.alias("u"), b.alias("v"), F.col(delta).cast("long").alias("d"), F.struct(F.col(order).alias("o"), a.alias("s"), b.alias("t"), F.col(delta).alias("d")).alias("o"))
+    now = stage(_between(given), "offsetedges")
+    at = stage(now.select(F.col("u").alias("node")).union(now.select("v")).distinct().select("node", F.col("node").alias("component"), F.lit(0).cast("long").alias("off")), "offsets")
+    for _ in range(max_rounds):
+        if not now.head(1):
+            break
+        ends = now.select(F.col("u").alias("c"), F.col("v").alias("to"), F.col("d").alias("up"), "o").union(now.select("v", "u", -F.col("d"), "o"))
+        picks = stage(ends.groupBy("c").agg(F.min_by(F.struct("to", "up"), "o").alias("p")).select("c", "p.to", "p.up"), "picks")
+        back = picks.select(F.col("c").alias("to"), F.col("to").alias("c"), F.lit(True).alias("mutual"))
+        root = F.coalesce("mutual", F.lit(False)) & (F.col("c") < F.col("to"))
+        tree = picks.join(back, ["c", "to"], "left").select("c", F.when(root, F.col("c")).otherwise(F.col("to")).alias("p"), F.when(root, 0).otherwise(-F.col("up")).cast("long").alias("off"))
+        tree = _to_roots(stage(tree, "tree"), max_rounds)
+        one, two = (tree.select(F.col("c").alias(c), F.col("p").alias(f"p{c}"), F.col("off").alias(f"o{c}")) for c in "uv")
+        moved = now.join(one, "u").join(two, "v").where("pu != pv").select(F.col("pu").alias("u"), F.col("pv").alias("v"), (F.col("d") - F.col("ov") + F.col("ou")).alias("d"), "o")
+        after, before = stage(_between(moved), "offsetedges"), now
+        went = tree.select(F.col("c").alias("component"), "p", F.col("off").alias("more"))
+        settled = stage(at.join(went, "component", "left").select("node", F.coalesce("p", "component").alias("component"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off")), "offsets")
+        discard(before, at, picks, tree)
+        now, at = after, settled
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    low = at.groupBy("component").agg(F.min("node").alias("low"), F.min_by("off", "node").alias("base"))
+    return at.join(low, "component").select("node", F.col("low").alias("component"), (F.col("off") - F.col("base")).alias("offset"))
+
+
+def _between(edges: DataFrame) -> DataFrame:
+    """The first edge in order between each two nodes, from the smaller one."""
+    turn = F.col("u") > F.col("v")
+    flat = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(turn, -F.col("d")).otherwise(F.col("d")).alias("d"), "o")
+    return flat.groupBy("u", "v").agg(F.min_by("d", "o").alias("d"), F.min("o").alias("o"))
+
+
+def _to_roots(tree: DataFrame, max_rounds: int) -> DataFrame:
+    """``c, p, off`` with every pointer led to its root, doubling the steps each time."""
+    for _ in range(max_rounds):
+        up = tree.select(F.col("c").alias("p"), F.col("p").alias("q"), F.col("off").alias("more"))
+        step = stage(tree.join(up, "p").select("c", F.col("q").alias("p"), (F.col("off") + F.col("more")).alias("off"), (F.col("q") != F.col("p")).alias("moved")), "tree")
+        discard(tree)
+        tree = step.drop("moved")
+        if not step.where("moved").head(1):
+            return tree
+    raise RuntimeError(f"pointers did not settle in {max_rounds} rounds")
+
+
+def conflicts(edges: DataFrame, placed: DataFrame, src: str = "src", dst: str = "dst", delta: str = "delta") -> DataFrame:
+    """``edges`` with ``component`` and ``conflict``: whether the offsets of ``placed`` (see ``offset_components``) say otherwise."""
+    one = placed.select(F.col("node").alias(src), "component", F.col("offset").alias("__a"))
+    two = placed.select(F.col("node").alias(dst), F.col("offset").alias("__b"))
+    both = edges.join(one, src).join(two, dst)
+    return both.withColumn("conflict", F.col("__b") - F.col("__a") != F.col(delta)).drop("__a", "__b")
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Count and order-free checksum of an edge table."""
     row = edges.agg(

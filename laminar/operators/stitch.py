@@ -48,26 +48,26 @@ def band_votes(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def mutual_links(votes: DataFrame, least: int = 20) -> DataFrame:
-    """Pairs that are each other's best partner; ties go to the lowest partner."""
-    best_b = votes.groupBy("a").agg(F.min_by("b", F.struct((-F.col("n")).alias("m"), "b")).alias("b"))
-    best_a = votes.groupBy("b").agg(F.min_by("a", F.struct((-F.col("n")).alias("m"), "a")).alias("a"))
-    return votes.where(F.col("n") >= least).join(best_b, ["a", "b"], "left_semi").join(best_a, ["a", "b"], "left_semi")
+def mutual_links(votes: DataFrame, least: int = 20, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs that are each other's best partner, within each band ``by``; ties go to the lowest partner."""
+    best_b = votes.groupBy(*by, "a").agg(F.min_by("b", F.struct((-F.col("n")).alias("m"), "b")).alias("b"))
+    best_a = votes.groupBy(*by, "b").agg(F.min_by("a", F.struct((-F.col("n")).alias("m"), "a")).alias("a"))
+    return votes.where(F.col("n") >= least).join(best_b, [*by, "a", "b"], "left_semi").join(best_a, [*by, "a", "b"], "left_semi")
 
 
-def directed_links(votes: DataFrame, least: int = 20, share: float = 0.7) -> DataFrame:
-    """``a, b, n, side, cover``: one side's co-labelled band lies mostly in the other."""
+def directed_links(votes: DataFrame, least: int = 20, share: float = 0.7, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, a, b, n, side, cover``: one side's co-labelled band lies mostly in the other."""
     sides = None
     for side in ("a", "b"):
-        cover = F.col("n") / F.sum("n").over(Window.partitionBy(side))
+        cover = F.col("n") / F.sum("n").over(Window.partitionBy(*by, side))
         part = votes.withColumn("side", F.lit(side)).withColumn("cover", cover).where((F.col("n") >= least) & (F.col("cover") >= share))
         sides = part if sides is None else sides.union(part)
     return sides
 
 
-def all_links(votes: DataFrame, least: int = 20, share: float = 0.7) -> DataFrame:
-    """Mutual and directed links, each pair once."""
-    return mutual_links(votes, least).select("a", "b").union(directed_links(votes, least, share).select("a", "b")).distinct()
+def all_links(votes: DataFrame, least: int = 20, share: float = 0.7, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mutual and directed links, each pair of a band once."""
+    return mutual_links(votes, least, by).select(*by, "a", "b").union(directed_links(votes, least, share, by).select(*by, "a", "b")).distinct()
 
 
 def link_components(votes: DataFrame, links: DataFrame) -> DataFrame:

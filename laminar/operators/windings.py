@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from laminar.storage import stage
-
 from laminar.functions.columns import closed_bucket, half_even
+from laminar.graph import conflicts, offset_components
+from laminar.storage import stage
 
 
 def dominant_ids(hits: DataFrame) -> DataFrame:
@@ -79,40 +77,26 @@ def histogram_gate(histogram: DataFrame, low: float = 0.6, high: float = 1.4, bi
     return out.withColumn("ok", F.col("peak").between(*peak) & (F.col("tail") < tail_most))
 
 
-def relative_windings(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """``component, node, winding, round``: windings along directed +1 edges ``component, inner, outer, pos``,
-    dropping the edges that disagree with the breadth-first tree until none does (``rounds`` at most).
+def observed_pairs(pairs: DataFrame, least: int = 2) -> DataFrame:
+    """``inner, outer, n, pos``: consistent pairs with the place (slab, theta, k) of their first observation."""
+    first = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min(F.struct("slab", "theta", "k")).alias("pos"))
+    good = consistent_pairs(pair_support(pairs), least).withColumns({"lo": F.least("inner", "outer"), "hi": F.greatest("inner", "outer")})
+    return good.join(first, ["lo", "hi"]).select("inner", "outer", "n", "pos")
 
-    The tree follows the order ``pos``, so each component's edge list (labels, already aggregated) is one group.
-    """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = list(pdf.sort_values(["pos", "inner", "outer"])[["inner", "outer"]].itertuples(index=False, name=None))
-        winding: dict = {}
-        done = 0
-        for done in range(rounds + 1):
-            near: dict = {}
-            for a, b in left:
-                near.setdefault(a, []).append((b, 1))
-                near.setdefault(b, []).append((a, -1))
-            winding = {}
-            for start in near:
-                if start in winding:
-                    continue
-                winding[start], wave = 0, [start]
-                for node in wave:
-                    for other, d in near[node]:
-                        if other not in winding:
-                            winding[other] = winding[node] + d
-                            wave.append(other)
-            kept = [(a, b) for a, b in left if winding[b] - winding[a] == 1]
-            if len(kept) == len(left):
-                break
-            left = kept
-        low = min(winding.values(), default=0)
-        return pd.DataFrame({"component": pdf["component"].iloc[0], "node": list(winding), "winding": [w - low for w in winding.values()], "round": done})
-
-    return edges.groupBy("component").applyInPandas(one, "component long, node long, winding long, round long")
+def relative_windings(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Windings along +1 edges ``inner, outer, pos``, and the edges with ``component`` and ``conflict``.
+
+    Edges are taken in the order of ``pos``: one that contradicts those before it is a conflict and is dropped; what remains is
+    consistent, so no further round is needed. Windings are ``component, node, winding``, 0 for the innermost of a component;
+    components may have any size (see ``offset_components``).
+    """
+    plain = edges.select(F.col("inner").alias("src"), F.col("outer").alias("dst"), F.lit(1).cast("long").alias("delta"), "pos")
+    placed = stage(offset_components(plain), "windings")
+    low = placed.groupBy("component").agg(F.min("offset").alias("low"))
+    windings = placed.join(low, "component").select("component", "node", (F.col("offset") - F.col("low")).alias("winding"))
+    checked = conflicts(plain, placed).select("component", F.col("src").alias("inner"), F.col("dst").alias("outer"), "conflict")
+    return windings, checked
 
 
 def instance_details(points: DataFrame, bins: int = 12, least: int = 20) -> DataFrame:
@@ -161,39 +145,117 @@ def stratified(rows: DataFrame, by: list[str], order: str, want: int) -> DataFra
     return placed.where((F.col("__n") <= want) | (F.col("__r") == 0) | (slot != before)).drop("__r", "__n")
 
 
-def spaced_points(points: DataFrame, k: int = 20, apart: float = 5.0, batch: int = 4000) -> DataFrame:
-    """Up to ``k`` points per ``gid``, no two closer than ``apart``, greedily in hash order (``gid, z, y, x``).
+def z_chunks(points: DataFrame, k: int) -> DataFrame:
+    """``points`` (``gid, z, y, x``, distinct) with ``chunk``: the part of ``least(k, n)`` even ones, along z, y, x, that a point of an
+    instance of n points falls in; the first parts are one larger where n does not divide.
+
+    Places are counted axis by axis: planes of an instance, lines of a plane, points of a line.
+    """
+    lines = points.groupBy("gid", "z", "y").agg(F.count("*").alias("c"))
+    planes = lines.groupBy("gid", "z").agg(F.sum("c").alias("c"))
+    before = lambda *by: F.coalesce(F.sum("c").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    planes = planes.select("gid", "z", before("gid", "z").alias("above"), F.sum("c").over(Window.partitionBy("gid")).alias("n"))
+    lines = lines.select("gid", "z", "y", before("gid", "z", "y").alias("left"))
+    at = F.row_number().over(Window.partitionBy("gid", "z", "y").orderBy("x")) - 1
+    placed = points.withColumn("at", at).join(lines, ["gid", "z", "y"]).join(planes, ["gid", "z"])
+    pos, m = F.col("at") + F.col("left") + F.col("above"), F.least(F.lit(k), F.col("n"))
+    q, r = F.floor(F.col("n") / m), F.col("n") % m
+    chunk = F.when(pos < r * (q + 1), F.floor(pos / (q + 1))).otherwise(r + F.floor((pos - r * (q + 1)) / q))
+    return placed.select("gid", "z", "y", "x", chunk.cast("int").alias("chunk"))
+
+
+_AT = ["gid", "z", "y", "x"]
+
 
-    Sequential within an instance, ``batch`` candidates at a time: where an instance has more, those near a chosen
-    point go by a join with the at most ``k`` chosen ones, and the next batch follows until ``k`` are found or no
-    candidate is left. Every batch but the last adds a point, so ``k`` rounds suffice.
+def _cells(apart: float) -> list:
+    return [F.floor(F.col(c) / apart).cast("long").alias(f"c{c}") for c in "zyx"]
+
+
+def _around(points: DataFrame) -> DataFrame:
+    """Points repeated for their own and the 26 neighbouring cells."""
+    for c in ("cz", "cy", "cx"):
+        points = points.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    return points
+
+
+def _far_from(points: DataFrame, chosen: DataFrame, apart: float) -> DataFrame:
+    """``points`` (with cells) that no chosen point of their instance is nearer to than ``apart``. Chosen points keep that distance
+    among themselves, so those around a cell are few."""
+    near = _around(chosen.select(*_AT, *_cells(apart))).groupBy("gid", "cz", "cy", "cx").agg(F.collect_list(F.struct("z", "y", "x")).alias("__c"))
+    close = F.expr(f"exists(__c, c -> (c.z - z) * (c.z - z) + (c.y - y) * (c.y - y) + (c.x - x) * (c.x - x) < {float(apart * apart)})")
+    return points.join(near, ["gid", "cz", "cy", "cx"], "left").where(~F.coalesce(close, F.lit(False))).drop("__c")
+
+
+def _pairs_before(late: DataFrame, early: DataFrame, before, apart: float) -> DataFrame:
+    """Points of ``late`` (key ``gid, z, y, x``) with a point of ``early`` (``qz, qy, qx``) that comes ``before`` and is nearer than ``apart``."""
+    q = early.select("gid", "cz", "cy", "cx", F.col("z").alias("qz"), F.col("y").alias("qy"), F.col("x").alias("qx"), F.col("o").alias("qo"), F.col("chunk").alias("qchunk"))
+    d = sum((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in "zyx")
+    return _around(late).join(q, ["gid", "cz", "cy", "cx"]).where(before).where(d < apart * apart).select(*_AT, "qz", "qy", "qx")
+
+
+def _one_a_chunk(points: DataFrame, apart: float) -> DataFrame:
+    """Chunk by chunk along z, the first point in order that keeps its distance from those of earlier chunks.
+
+    Chunks are settled side by side: the first open point of a chunk is its choice as soon as no open point of an earlier,
+    unsettled chunk lies near it.
+    """
+    open_, found = points, None
+    while open_.head(1):
+        heads = open_.groupBy("gid", "chunk").agg(F.min("o").alias("o")).select("gid", "chunk", "o", *[F.col(f"o.{c}").alias(c) for c in "zyx"])
+        heads = stage(heads.select("*", *_cells(apart)), "chunkheads")
+        waiting = _pairs_before(heads, open_, F.col("qchunk") < F.col("chunk"), apart).select(*_AT).distinct()
+        chosen = stage(heads.join(waiting, _AT, "left_anti").select(*_AT, "chunk"), "chunkpicks")
+        found = chosen if found is None else found.unionByName(chosen)
+        left = open_.join(chosen.select("gid", "chunk"), ["gid", "chunk"], "left_anti")
+        open_ = stage(_far_from(left, chosen, apart), "chunkopen")
+    return found
+
+
+def _independent(points: DataFrame, apart: float) -> DataFrame:
+    """The points that a pass in order would keep, each if no kept one is nearer than ``apart``: in rounds, a point is kept when no
+    open point before it lies near it, and those near it go."""
+    pairs = stage(_pairs_before(points, points, F.col("qo") < F.col("o"), apart), "nearpairs")
+    q = ["gid", "qz", "qy", "qx"]
+    as_q = lambda t: t.select("gid", *[F.col(c).alias(f"q{c}") for c in "zyx"])
+    open_, found = stage(points.select(*_AT), "nearopen"), None
+    while open_.head(1):
+        live = pairs.join(open_, _AT, "left_semi").join(as_q(open_), q, "left_semi")
+        kept = stage(open_.join(live.select(*_AT).distinct(), _AT, "left_anti"), "nearkept")
+        found = kept if found is None else found.unionByName(kept)
+        gone = pairs.join(as_q(kept), q, "left_semi").select(*_AT).distinct()
+        open_ = stage(open_.join(kept, _AT, "left_anti").join(gone, _AT, "left_anti"), "nearopen")
+    return found
+
+
+def spaced_points(points: DataFrame, k: int = 20, apart: float = 5.0, batch: int = 16) -> DataFrame:
+    """Up to ``k`` points per ``gid``, no two closer than ``apart`` (``gid, z, y, x``): one a chunk along z first, then others.
+
+    The choice is that of a pass in the order of a hash: an instance's points are cut into ``k`` even chunks along z, each of which
+    gives its first point that keeps the distance; then all points are gone through until ``k`` are found. Rounds of joins over
+    grid cells of size ``apart`` make it; the second part takes ``batch * k`` open points an instance at a time, which bounds
+    their pairs. Repeated points count once, null coordinates are left out.
     """
-    left = points.select("gid", "z", "y", "x").distinct().withColumns({"__h": F.xxhash64("gid", "z", "y", "x"), "__need": F.lit(k)})
-    order = Window.partitionBy("gid").orderBy("__h", "z", "y", "x")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__h", "z", "y", "x"])
-        p = pdf[["z", "y", "x"]].to_numpy(dtype=np.float64)
-        chosen: list[int] = []
-        for i in range(len(p)):
-            if len(chosen) == pdf["__need"].iloc[0]:
-                break
-            if not chosen or (((p[chosen] - p[i]) ** 2).sum(1) >= apart * apart).all():
-                chosen.append(i)
-        return pdf.iloc[chosen][["gid", "z", "y", "x"]]
-
-    found = None
-    while True:
-        ranked = left.withColumn("__r", F.row_number().over(order))
-        more = (left.groupBy("gid").count().agg(F.max("count")).first()[0] or 0) > batch
-        new = ranked.where(F.col("__r") <= batch).drop("__r").groupBy("gid").applyInPandas(one, "gid long, z long, y long, x long")
-        if not more:
-            return new if found is None else found.unionByName(new)
-        found = stage(new if found is None else found.unionByName(new), "spaced")
-        near = found.groupBy("gid").agg(F.collect_list(F.struct("z", "y", "x")).alias("__c"))  # k at most
-        rest = ranked.where(F.col("__r") > batch).drop("__r", "__need").join(near, "gid").where(F.size("__c") < k)
-        far = F.expr(f"NOT exists(__c, c -> (c.z - z) * (c.z - z) + (c.y - y) * (c.y - y) + (c.x - x) * (c.x - x) < {float(apart * apart)})")
-        left = stage(rest.where(far).select("gid", "z", "y", "x", "__h", (F.lit(k) - F.size("__c")).alias("__need")), "spacedleft")
+    order = F.struct(F.xxhash64(*_AT).alias("h"), "z", "y", "x")
+    distinct = stage(points.select(*[F.col(c).cast("long").alias(c) for c in _AT]).dropna().distinct(), "spots")
+    spots = stage(z_chunks(distinct, k).select(*_AT, "chunk", order.alias("o"), *_cells(apart)), "chunks")
+    found = _one_a_chunk(spots, apart)
+    if found is None:
+        return distinct
+    found = stage(found.select(*_AT), "spaced")
+    left = stage(_far_from(spots, found, apart), "spacedleft")
+    while left.head(1):
+        need = found.groupBy("gid").agg((F.lit(k) - F.count("*")).alias("need")).where("need > 0")
+        left = left.join(need.select("gid"), "gid", "left_semi")
+        first = F.row_number().over(Window.partitionBy("gid").orderBy("o"))
+        some = stage(left.withColumn("r", first).where(F.col("r") <= batch * k).drop("r"), "spacedsome")
+        if not some.head(1):
+            break
+        kept = _independent(some, apart).join(some.select(*_AT, "o"), _AT).join(need, "gid")
+        kept = stage(kept.withColumn("r", first).where(F.col("r") <= F.lit(k)).where("r <= need").select(*_AT), "spacedkept")
+        upto = some.groupBy("gid").agg(F.max("o").alias("upto"))
+        left = stage(_far_from(left.join(upto, "gid").where("o > upto").drop("upto"), kept, apart), "spacedleft")
+        found = stage(found.unionByName(kept), "spaced")
+    return found
 
 
 def circular_peak(counts: DataFrame, by: list[str], bins: int, width: int) -> DataFrame:

@@ -87,14 +87,51 @@ def histogram_gate(spark, sf_dir):
     return out.withColumns({c: F.round(c, 9) for c in ("peak", "tail")})
 
 
-@register("relative_windings")
+@register("relative_windings", f"""WITH RECURSIVE {_SUPPORT}, ce AS (SELECT CASE WHEN n_up > 0 THEN lo ELSE hi END AS i, CASE WHEN n_up > 0 THEN hi ELSE lo END AS o FROM sup WHERE n >= 2 AND (n_up = 0 OR n_down = 0)),
+  sym AS (SELECT i AS s, o AS d, 1 AS w FROM ce UNION SELECT o, i, -1 FROM ce),
+  reach AS (SELECT s, s AS d, 0 AS w FROM sym UNION SELECT reach.s, sym.d, reach.w + sym.w FROM reach JOIN sym ON reach.d = sym.s WHERE abs(reach.w + sym.w) < 64),
+  pot AS (SELECT s AS node, min(d) AS component, CAST(-min(w) AS BIGINT) AS winding FROM reach GROUP BY s),
+  ne AS (SELECT x.component, count(*) AS n_edges, count(*) FILTER (WHERE y.winding - x.winding <> 1) AS n_conflicts FROM ce JOIN pot x ON x.node = i JOIN pot y ON y.node = o GROUP BY x.component)
+  SELECT component, node, winding, n_edges, n_conflicts FROM pot JOIN ne USING (component)""")
 def relative_windings(spark, sf_dir):
-    from laminar.graph import connected_components
+    """Windings of the rings with the edges and conflicts of their component."""
+    placed, checked = windings.relative_windings(windings.observed_pairs(_gaps(spark, sf_dir)))
+    seen = checked.groupBy("component").agg(F.count("*").alias("n_edges"), F.count_if("conflict").alias("n_conflicts"))
+    return placed.join(seen, "component")
 
-    edges = windings.consistent_pairs(windings.pair_support(_gaps(spark, sf_dir)))
-    comp = connected_components(edges.select(F.col("inner").alias("src"), F.col("outer").alias("dst")))
-    both = edges.join(comp.withColumnRenamed("node", "inner"), "inner").select("component", "inner", "outer", F.lit(0).alias("pos"))
-    return windings.relative_windings(both)
+
+_OFFSETS = """e AS (SELECT l_orderkey AS s, l_orderkey // 64 * 64 + l_partkey % 64 AS d, l_linenumber, l_quantity FROM lineitem),
+sym AS (SELECT s, d FROM e UNION SELECT d, s FROM e), reach AS (SELECT s, s AS d FROM sym UNION SELECT reach.s, sym.d FROM reach JOIN sym ON reach.d = sym.s),
+comp AS (SELECT s AS node, min(d) AS component FROM reach GROUP BY s)"""
+
+
+def _potential_edges(spark, sf_dir):
+    """Orders of a block of 64 linked by their lines, each edge with the difference of a potential; late repeats of some edges are off by one."""
+    w = lambda c: c.cast("long") * 7919 % 101
+    li = table(spark, sf_dir, "lineitem")
+    src, dst = F.col("l_orderkey"), F.floor(F.col("l_orderkey") / 64) * 64 + F.col("l_partkey") % 64
+    good = li.select(src.alias("src"), dst.alias("dst"), (w(dst) - w(src)).alias("delta"), (F.col("l_linenumber").cast("long") * 10**9 + F.col("l_orderkey")).alias("pos"), (F.col("l_linenumber") == 1).alias("first"), "l_quantity")
+    off = good.where("first AND l_quantity > 45").withColumns({"delta": F.col("delta") + 1, "pos": F.col("pos") + 10**12})
+    return good.unionByName(off).select("src", "dst", "delta", "pos")
+
+
+@register("offset_components", f"""WITH RECURSIVE {_OFFSETS}, n AS (SELECT node FROM comp WHERE node IN (SELECT s FROM e WHERE s <> d UNION SELECT d FROM e WHERE s <> d))
+  SELECT node, component, node * 7919 % 101 - component * 7919 % 101 AS "offset" FROM comp WHERE node IN (SELECT node FROM n)""")
+def offset_components(spark, sf_dir):
+    """Potentials relative to the smallest node of each component; the edges that are off by one come late and change nothing."""
+    from laminar.graph import offset_components
+
+    return offset_components(_potential_edges(spark, sf_dir))
+
+
+@register("offset_conflicts", f"""WITH RECURSIVE {_OFFSETS} SELECT component, count(*) AS n_conflicts FROM e JOIN comp ON node = s WHERE l_linenumber = 1 AND l_quantity > 45
+  AND s IN (SELECT s FROM e WHERE s <> d UNION SELECT d FROM e WHERE s <> d) GROUP BY component""")
+def offset_conflicts(spark, sf_dir):
+    """Edges per component that contradict those before them."""
+    from laminar.graph import conflicts, offset_components
+
+    edges = _potential_edges(spark, sf_dir)
+    return conflicts(edges, offset_components(edges)).where("conflict").groupBy("component").agg(F.count("*").alias("n_conflicts"))
 
 
 _PTS = """pts AS (SELECT l_suppkey AS gid, CAST(l_linenumber AS BIGINT) AS z, l_quantity AS r, CAST(l_orderkey % 360 AS DOUBLE) AS theta_deg, l_returnflag = 'R' AS inside, l_partkey AS y, l_orderkey AS x FROM lineitem)"""

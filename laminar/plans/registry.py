@@ -30,4 +30,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from laminar.plans import constraints, further, quality, reports, stitching  # noqa: E402, F401  their queries register themselves
+from laminar.plans import assembly, constraints, further, quality, reports, stitching  # noqa: E402, F401  their queries register themselves

@@ -85,34 +85,6 @@ def test_capped_merge_respects_cap_and_order(spark):
     assert max(size.values()) < 0.2 * 200 and got[1] == got[0] and len(got) == 20
 
 
-def test_windings_drop_contradictions(spark):
-    ship(spark)
-    edges = [(1, 1, 2, 0), (1, 2, 3, 1), (1, 3, 4, 2), (1, 1, 4, 3)]
-    df = spark.createDataFrame(edges, "component long, inner long, outer long, pos long")
-    got = {r["node"]: r["winding"] for r in windings.relative_windings(df).collect()}
-    assert got[2] - got[1] == 1 and got[3] - got[2] == 1
-
-
-def test_spaced_points_keep_their_distance(spark):
-    ship(spark)
-    pts = spark.range(2000).select((F.col("id") % 2).alias("gid"), (F.col("id") % 20).alias("z"), (F.col("id") * 7 % 40).alias("y"), (F.col("id") * 13 % 40).alias("x"))
-    rows = windings.spaced_points(pts, 10, 5.0).collect()
-    for g in (0, 1):
-        p = np.array([[r["z"], r["y"], r["x"]] for r in rows if r["gid"] == g])
-        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)) + 100 * np.eye(len(p))
-        assert len(p) == 10 and d.min() >= 5
-
-
-def test_spaced_points_try_every_candidate(spark):
-    """Dense clumps and repeats: small batches give what one pass over all points in hash order gives."""
-    rows = [(g, z % 40, y, 0) for g in (1, 2) for z in range(80) for y in range(g * 8)] + [(3, 1, 1, 1)] * 50
-    pts = spark.createDataFrame(rows, "gid long, z long, y long, x long")
-    whole = {tuple(r) for r in windings.spaced_points(pts, 12, 5.0).collect()}
-    assert {tuple(r) for r in windings.spaced_points(pts, 12, 5.0, batch=25).collect()} == whole
-    assert len(whole) == 2 * 12 + 1 or len(whole) > 12
-
-
-
 def test_spiral_is_told_from_loops(spark):
     ship(spark)
     rows = [(1, 0, t, 5.0 + 10 * k + t / 6.0) for k in range(3) for t in range(60)] + [(2, 0, t, 5.0 + 10 * k) for k in range(3) for t in range(60)]

@@ -20,6 +20,7 @@ def build_session(app: str = "laminar", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.python.filterPushdown.enabled": "true",
     }
     defaults.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in defaults.items():

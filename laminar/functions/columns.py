@@ -45,3 +45,24 @@ def closed_bucket(x: Column, low: float, high: float, bins: int) -> Column:
 def hue(k: Column) -> Column:
     """Golden-ratio hue in [0, 1) of an ordinal."""
     return F.pmod(k * 0.6180339887498949, F.lit(1.0))
+
+
+def packed(parts: list[tuple[Column, int]]) -> Column:
+    """Whole numbers packed into one long, first part highest; a number outside its bits (or null) is an error."""
+    node = F.lit(0).cast("long")
+    fits = F.lit(True)
+    for value, bits in parts:
+        fits = fits & value.between(0, (1 << bits) - 1)
+        node = node * (1 << bits) + value
+    return F.when(fits, node).otherwise(F.raise_error(F.lit("a number is too large for a packed id")).cast("long"))
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two vectors of numbers, null if either holds a null or they differ in length."""
+    total = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    return F.when(F.size(a) == F.size(b), total)
+
+
+def norm(a: Column) -> Column:
+    """Euclidean length of a vector."""
+    return F.sqrt(dot(a, a))

@@ -12,30 +12,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from laminar.functions.columns import packed
 from laminar.graph import connected_components
 from laminar.operators.stitch import all_links, dense_ids
 
 TILE_BITS, LABEL_BITS, GID_BITS = 10, 24, 40
 
 
-def _packed(parts: list[tuple[Column, int]]) -> Column:
-    """Whole numbers packed into one long, first part highest; a number outside its bits is an error."""
-    node = F.lit(0).cast("long")
-    fits = F.lit(True)
-    for value, bits in parts:
-        fits = fits & value.between(0, (1 << bits) - 1)
-        node = node * (1 << bits) + value
-    return F.when(fits, node).otherwise(F.raise_error(F.lit("slab, tile or label too large for a node id")).cast("long"))
-
-
 def tile_node(slab, ty, tx, label) -> Column:
     """One long for a label of a tile, in the order of slab, tile and label."""
-    return _packed([(slab, 63 - 2 * TILE_BITS - LABEL_BITS), (ty, TILE_BITS), (tx, TILE_BITS), (label, LABEL_BITS)])
+    return packed([(slab, 63 - 2 * TILE_BITS - LABEL_BITS), (ty, TILE_BITS), (tx, TILE_BITS), (label, LABEL_BITS)])
 
 
 def slab_node(slab, gid) -> Column:
     """One long for an instance of a slab: the slab's offset and the id within it."""
-    return _packed([(slab, 63 - GID_BITS), (gid, GID_BITS)])
+    return packed([(slab, 63 - GID_BITS), (gid, GID_BITS)])
 
 
 def _paired(keyed: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -14,6 +14,26 @@ def centroids(mask: DataFrame, least: int = 1) -> DataFrame:
     return mask.groupBy("z").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def owned_centroids(mask: DataFrame, slices: DataFrame, cy: float, cx: float) -> DataFrame:
+    """``slab, z, cy, cx, n`` for every slice of ``slices`` (``slab, z``): the centre of the voxels that their tile owns (``own``), so
+    that overlaps count once; the given centre where a slice has none."""
+    found = mask.where("own").groupBy("slab", "z").agg(F.avg("y").alias("y"), F.avg("x").alias("x"), F.count("*").alias("n"))
+    both = slices.join(found, ["slab", "z"], "left")
+    return both.select("slab", "z", F.coalesce("y", F.lit(cy)).alias("cy"), F.coalesce("x", F.lit(cx)).alias("cx"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def trimmed_centroids(mask: DataFrame, by: list[str], trim: float, least: int, cy: float, cx: float) -> DataFrame:
+    """``by, cy, cx, n, n_kept``: per group the centre of the voxels between its ``trim`` and ``1 - trim`` quantiles on both axes
+    (bounds included); the given centre where fewer than ``least`` are left. Two passes: quantiles, then means."""
+    p = F.array(F.lit(trim), F.lit(1 - trim))
+    bounds = mask.groupBy(*by).agg(F.percentile("y", p).alias("py"), F.percentile("x", p).alias("px"), F.count("*").alias("n"))
+    inside = mask.join(bounds.select(*by, "py", "px"), by).where("y BETWEEN py[0] AND py[1] AND x BETWEEN px[0] AND px[1]")
+    kept = inside.groupBy(*by).agg(F.avg("y").alias("y"), F.avg("x").alias("x"), F.count("*").alias("k"))
+    both = bounds.select(*by, "n").join(kept, by, "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    enough = F.col("k") >= least
+    return both.select(*by, F.when(enough, F.col("y")).otherwise(cy).alias("cy"), F.when(enough, F.col("x")).otherwise(cx).alias("cx"), "n", F.col("k").alias("n_kept"))
+
+
 def first_slab_wins(points: DataFrame) -> DataFrame:
     """One row per global z: that of the first slab."""
     rank = F.row_number().over(Window.partitionBy("z").orderBy("slab"))

@@ -84,3 +84,12 @@ def boundary_profile(per_slice: DataFrame, width: int = 9, near: int = 2) -> Dat
     frame = Window.partitionBy("series").orderBy("z").rowsBetween(-half, half)
     base = F.sum("n").over(frame) / float(width)
     return per_slice.select("series", "z", "n", base.alias("baseline"), F.abs(F.col("n") - base).alias("deviation"), (F.col("pos") < near).alias("near_boundary"))
+
+
+def boundary_means(profile: DataFrame) -> DataFrame:
+    """``series, n_near, n_interior, near, interior, ratio`` of a ``boundary_profile``: mean deviation near slab boundaries and elsewhere."""
+    near = F.col("near_boundary")
+    out = profile.groupBy("series").agg(
+        F.count_if(near).alias("n_near"), F.count_if(~near).alias("n_interior"), F.avg(F.when(near, F.col("deviation"))).alias("near"), F.avg(F.when(~near, F.col("deviation"))).alias("interior")
+    )
+    return out.withColumn("ratio", F.col("near") / F.col("interior"))

@@ -8,45 +8,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from laminar.operators.axis import asof, interpolated
 
-def track(runs: DataFrame, bins: int, gate: float = 4.0, skips: int = 3) -> DataFrame:
-    """``gid, z, step, t, r``: one track per instance and slice through runs ``gid, z, theta, r``.
 
-    From the innermost run of the first bin the track follows increasing angle over several turns; it
-    takes the run nearest in radius within ``gate`` and gives up after ``skips`` empty bins in a row. Each
-    step depends on the one before, so the runs of one instance in one slice (a few per bin) are a group.
+def track(runs: DataFrame, bins: int, gate: float = 6.0, skips: int = 15, turns: int = 2, least: int = 10) -> DataFrame:
+    """``gid, z, direction, seed, step, r``: tracks of up to ``turns`` turns through crossings ``gid, z, theta, r`` (angle bins).
+
+    All crossings in the bin of an instance's mean angle (its first bin where it has none) are seeds, innermost first, and both directions are tried. A track
+    takes in each bin the crossing nearest in radius (the inner one on ties); bins without one within ``gate`` are skipped, and
+    more than ``skips`` in a row end it. Of each direction the first seed stays whose track reaches 1.03 turns and has ``least``
+    steps beyond the first turn. Steps depend on each other, so the crossings of an instance in one slice are a group: its size
+    is that of the rays of a slice, not of the table.
     """
+    angle = F.col("theta") * F.lit(2 * np.pi / bins)
+    at = runs.groupBy("gid", "z").agg(F.avg(F.sin(angle)).alias("s"), F.avg(F.cos(angle)).alias("c"), F.min("theta").alias("low"))
+    near = F.pmod(F.round(F.atan2("s", "c") * bins / (2 * np.pi)).cast("long"), F.lit(bins))
+    start = F.when(F.hypot("s", "c") < 1e-6, F.col("low")).otherwise(near).alias("start")
+    held = runs.join(at.select("gid", "z", start), ["gid", "z"]).select("gid", "z", "theta", "r", "start")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = {t: np.sort(g["r"].to_numpy()) for t, g in pdf.groupby("theta")}
-        start = min(by)
-        r, missed, rows = float(by[start][0]), 0, []
-        turns = max(len(v) for v in by.values()) + 1
-        used: set = set()
-        for step in range(turns * bins):
-            t = (start + step) % bins
-            near = [x for x in by.get(t, ()) if abs(x - r) <= gate and (t, x) not in used]
-            if near:
-                r, missed = float(min(near, key=lambda x: abs(x - r))), 0
-                used.add((t, r))
-                rows.append((step, start + step, r))
-            else:
-                missed += 1
-                if missed > skips:
+        by = {t: np.unique(g.to_numpy()) for t, g in pdf.groupby("theta")["r"]}
+        start, rows = int(pdf["start"].iloc[0]), []
+        for direction in (1, -1):
+            for seed, r in enumerate(by.get(start, ())):
+                steps, missed = [(0, r)], 0
+                for step in range(1, turns * bins + 1):
+                    here = by.get((start + direction * step) % bins, ())
+                    best = here[np.argmin(np.abs(here - steps[-1][1]))] if len(here) else None
+                    if best is None or abs(best - steps[-1][1]) > gate:
+                        missed += 1
+                        if missed > skips:
+                            break
+                        continue
+                    missed = 0
+                    steps.append((step, best))
+                if steps[-1][0] >= 1.03 * bins and sum(s > bins for s, _ in steps) >= least:
+                    rows.extend((direction, seed, s, float(x)) for s, x in steps)
                     break
-        out = pd.DataFrame(rows, columns=["step", "t", "r"])
-        return out.assign(gid=pdf["gid"].iloc[0], z=pdf["z"].iloc[0])[["gid", "z", "step", "t", "r"]]
+        out = pd.DataFrame(rows, columns=["direction", "seed", "step", "r"])
+        return out.assign(gid=pdf["gid"].iloc[0], z=pdf["z"].iloc[0])[["gid", "z", "direction", "seed", "step", "r"]]
 
-    return runs.groupBy("gid", "z").applyInPandas(one, "gid long, z long, step long, t long, r double")
+    return held.groupBy("gid", "z").applyInPandas(one, "gid long, z long, direction long, seed long, step long, r double")
 
 
 def turn_advance(tracks: DataFrame, bins: int, loop: float = 2.0) -> DataFrame:
-    """``gid, z, n, advance, kind``: median radius gained per turn; a loop where it is below ``loop``."""
-    now, then = tracks.alias("a"), tracks.select("gid", "z", (F.col("t") + bins).alias("t"), F.col("r").alias("before"))
-    both = now.join(then, ["gid", "z", "t"]).withColumn("gain", F.col("r") - F.col("before"))
-    out = both.groupBy("gid", "z").agg(F.count("*").alias("n"), F.median("gain").alias("advance"))
-    kind = F.when(F.abs("advance") < loop, "loop").when(F.col("advance") > 0, "anticlockwise").otherwise("clockwise")
-    return out.withColumn("kind", kind)
+    """``gid, z, direction, n, advance, kind``: median radius gained since one turn before, outwards for positive angles.
+
+    The radius one turn before is interpolated between the track's steps there. Below ``loop`` the track is a closed loop.
+    """
+    by = ["gid", "z", "direction", "seed"]
+    late = tracks.where(F.col("step") > bins).select(*by, (F.col("step") - bins).alias("step"), F.col("r").alias("now"))
+    both = interpolated(asof(late, tracks.select(*by, "step", "r"), by, "step", "r"), "step")
+    out = both.groupBy("gid", "z", "direction").agg(F.count("*").alias("n"), (F.median(F.col("now") - F.col("value")) * F.first("direction")).alias("advance"))
+    return out.withColumn("kind", F.when(F.abs("advance") < loop, "loop").otherwise("spiral"))
+
+
+def spiral_sense(advances: DataFrame) -> DataFrame:
+    """One row ``spirals, loops, advance, sense``: clockwise where radii grow with the angle; null without a spiral."""
+    some = F.col("kind") == "spiral"
+    out = advances.agg(F.count_if(some).alias("spirals"), F.count_if(~some).alias("loops"), F.median(F.when(some, F.col("advance"))).alias("advance"))
+    return out.withColumn("sense", F.when(F.col("advance") > 0, "CW").when(F.col("advance").isNotNull(), "ACW"))
 
 
 def mean_angle(points: DataFrame, by: list[str], theta: str) -> DataFrame:

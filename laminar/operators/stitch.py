@@ -105,6 +105,25 @@ def contiguous_slabs(slabs: DataFrame, depth: int, overlap: int) -> DataFrame:
     return pairs.withColumn("linked", F.col("za") + depth - overlap == F.col("zb"))
 
 
+def tile_ids(labels: DataFrame, whole: DataFrame, slab: DataFrame) -> DataFrame:
+    """``tile, local, gid`` for ``labels`` (``tile, local``): from the table of the ``whole`` where that has the tile at all, else from the
+    ``slab``'s; 0 where the table in charge does not have the label."""
+    known = whole.select("tile").distinct().withColumn("known", F.lit(True))
+    found = labels.join(known, "tile", "left").join(whole.withColumnRenamed("gid", "g"), ["tile", "local"], "left").join(slab.withColumnRenamed("gid", "s"), ["tile", "local"], "left")
+    return found.select("tile", "local", F.coalesce(F.when(F.col("known"), F.col("g")).otherwise(F.col("s")), F.lit(0)).alias("gid"))
+
+
+def slab_policies(wanted: DataFrame, have: DataFrame) -> DataFrame:
+    """``policy, slabs, missing, outcome``: how many of the ``wanted`` slabs (``slab``) each policy goes on with. ``fail`` and ``stop`` go on
+    with none where one is missing, ``warn`` with those that are there."""
+    seen = wanted.distinct().join(have.select("slab").distinct().withColumn("there", F.lit(True)), "slab", "left")
+    count = seen.agg(F.count("*").alias("n"), F.count_if(F.col("there").isNull()).alias("missing"))
+    policy = F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.lit(o).alias("word")) for p, o in (("fail", "failed"), ("stop", "stopped"), ("warn", "warned"))]))
+    out = count.select("n", "missing", policy.alias("p")).select("p.*", "n", "missing")
+    slabs = F.when(F.col("missing") == 0, F.col("n")).when(F.col("policy") == "warn", F.col("n") - F.col("missing")).otherwise(0)
+    return out.select("policy", slabs.alias("slabs"), "missing", F.when(F.col("missing") == 0, "ok").otherwise(F.col("word")).alias("outcome"))
+
+
 def dense_ids(df: DataFrame, root: str) -> DataFrame:
     """``root, id``: dense ids from 1 in the order of the roots. Ranks are taken over the table of roots only,
     within ranges of it: range partitions are counted first and offset, so no task sees them all."""

@@ -130,3 +130,18 @@ def pack_manifest(expected: DataFrame, found: DataFrame) -> DataFrame:
     both = expected.withColumn("e", F.lit(True)).join(found.withColumn("f", F.lit(True)), "name", "full")
     status = F.when(F.col("e").isNull(), "skipped").when(F.col("f").isNull() & F.col("optional"), "placeholder").when(F.col("f").isNull(), "missing").when(~F.col("valid"), "invalid").otherwise("copied")
     return both.select("name", status.alias("status"))
+
+
+def dated_manifest(expected: DataFrame, files: DataFrame) -> DataFrame:
+    """``name, status, bytes, modified_utc``: the manifest of a pack with sizes and times. ``files`` are those of ``file_times``, in
+    which empty files are not there; ``expected`` has ``name, optional``."""
+    found = files.select("name", F.lit(True).alias("valid"))
+    return pack_manifest(expected, found).join(files.select("name", "bytes", "modified_utc"), "name", "left")
+
+
+def report(docs: DataFrame) -> tuple[DataFrame, int]:
+    """One JSON line per document (``doc, value``: its figures and its violations) and the exit code: 1 where any is in error."""
+    found = violations(docs).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("severity", "rule", "at"))).alias("violations"))
+    rows = file_stats(docs).join(found, "doc", "left")
+    value = F.to_json(F.struct("doc", "kind", "n_collections", "n_points", "n_errors", "n_warnings", "ok", F.coalesce("violations", F.array().cast("array<struct<severity:string,rule:string,at:string>>")).alias("violations")))
+    return rows.select("doc", value.alias("value")), int(rows.where("NOT ok").limit(1).count())

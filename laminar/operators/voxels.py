@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from laminar.functions.columns import packed
 from laminar.graph import connected_components
 
 ZYX = ["z", "y", "x"]
+VOXEL_BITS = 40
 
 
 def gate(pred: DataFrame, ct: DataFrame) -> DataFrame:
@@ -26,20 +28,16 @@ def voxel_components(mask: DataFrame, ny: int, nx: int) -> DataFrame:
 
     Neighbours along an axis are consecutive voxels of a line, found with ``lead`` rather than a join.
     """
-    base = mask.select("slab", *ZYX).distinct().withColumn("node", F.struct("slab", voxel_key(F.col("z"), F.col("y"), F.col("x"), ny, nx).alias("v")))
+    base = mask.select("slab", *ZYX).distinct()
+    base = base.withColumn("n", packed([(F.col("slab"), 63 - VOXEL_BITS), (voxel_key(F.col("z"), F.col("y"), F.col("x"), ny, nx), VOXEL_BITS)]))
     edges = None
     for axis in ZYX:
         others = [c for c in ZYX if c != axis]
         along = Window.partitionBy("slab", *others).orderBy(axis)
-        step = base.withColumn("to", F.when(F.lead(axis).over(along) == F.col(axis) + 1, F.lead("node").over(along))).where("to IS NOT NULL").select(F.col("node").alias("src"), F.col("to").alias("dst"))
+        step = base.withColumn("to", F.when(F.lead(axis).over(along) == F.col(axis) + 1, F.lead("n").over(along))).where("to IS NOT NULL").select(F.col("n").alias("src"), F.col("to").alias("dst"))
         edges = step if edges is None else edges.union(step)
-    found = connected_components(_flat(edges))
-    flat = base.withColumn("n", F.xxhash64("node.slab", "node.v"))
-    return flat.join(found, flat["n"] == found["node"], "left").select("slab", *ZYX, F.coalesce("component", "n").alias("component"))
-
-
-def _flat(edges: DataFrame) -> DataFrame:
-    return edges.select(F.xxhash64("src.slab", "src.v").alias("src"), F.xxhash64("dst.slab", "dst.v").alias("dst"))
+    found = connected_components(edges)
+    return base.join(found.withColumnRenamed("node", "n"), "n", "left").select("slab", *ZYX, F.coalesce("component", "n").alias("component"))
 
 
 def size_filter(labelled: DataFrame, label: list[str], least: int) -> DataFrame:
@@ -48,6 +46,23 @@ def size_filter(labelled: DataFrame, label: list[str], least: int) -> DataFrame:
     return labelled.join(big, label, "left_semi")
 
 
+def cleaning_report(voxels: DataFrame, ny: int, nx: int, least: int) -> DataFrame:
+    """``slab, raw, gated, components, kept, cleaned, pct_removed`` from ``slab, z, y, x, pred, ct``: predicted voxels, those inside the object,
+    their face-connected components, those of ``least`` voxels or more, and the voxels that are left in them."""
+    raw, inside = F.col("pred") > 0, (F.col("pred") > 0) & (F.col("ct") > 0)
+    counts = voxels.groupBy("slab").agg(F.count_if(raw).alias("raw"), F.count_if(inside).alias("gated"))
+    sizes = voxel_components(voxels.where(inside), ny, nx).groupBy("slab", "component").agg(F.count("*").alias("n"))
+    big = F.col("n") >= least
+    kept = sizes.groupBy("slab").agg(F.count("*").alias("components"), F.count_if(big).alias("kept"), F.sum(F.when(big, F.col("n")).otherwise(0)).alias("cleaned"))
+    out = counts.join(kept, "slab", "left").select("slab", "raw", "gated", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("components", "kept", "cleaned")])
+    return out.withColumn("pct_removed", F.round(100.0 * (F.col("raw") - F.col("cleaned")) / F.col("raw"), 6))
+
+
+def rest_components(mask: DataFrame, seeded: DataFrame, ny: int, nx: int) -> DataFrame:
+    """``slab, z, y, x, component``: the components of the mask voxels that no seed reached (those of ``seeded`` taken away)."""
+    return voxel_components(mask.join(seeded.select("slab", *ZYX), ["slab", *ZYX], "left_anti"), ny, nx)
+
+
 def mega_labels(labelled: DataFrame, label: str, share: float) -> DataFrame:
     """Labels that hold at least ``share`` of all labelled rows: ``label, n, share``."""
     sizes = labelled.groupBy(label).agg(F.count("*").alias("n"))

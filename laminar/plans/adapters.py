@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminar.plans.registry import table
+from laminar.plans.given import table
 
 SIDE = 65
 

@@ -10,7 +10,7 @@ from laminar.operators import kernels, rays, spiral, voxels
 from laminar.plans import adapters as A
 from laminar.plans.registry import register, table
 from laminar.plans.stitching import _tile_voxels
-from laminar.sources import sinks
+from laminar.sources import sinks, tables
 from laminar.storage import shared_dir
 from laminar.streaming import incremental
 
@@ -72,14 +72,16 @@ def voxel_components(spark, sf_dir):
     return voxels.voxel_components(A.voxels(spark, sf_dir).where("pred > 0"), 32, 32)
 
 
-@register("axis_documents", "SELECT l_suppkey % 10 AS g, count(DISTINCT l_linenumber) AS n_points FROM lineitem GROUP BY 1")
+@register("axis_documents", "SELECT l_suppkey % 10 AS g, CAST(l_linenumber AS DOUBLE) AS z, round(avg(l_partkey), 6) AS y, round(avg(l_quantity), 6) AS x FROM lineitem GROUP BY 1, 2")
 def axis_documents(spark, sf_dir):
-    """Axis documents written as JSON and read back through the VARIANT reader's paths."""
+    """Axis documents written as JSON, a file each, and their control points read back."""
     li = table(spark, sf_dir, "lineitem")
     c = li.groupBy((F.col("l_suppkey") % 10).alias("g"), F.col("l_linenumber").alias("z")).agg(F.avg("l_partkey").alias("y"), F.avg("l_quantity").alias("x"))
     docs = c.groupBy("g").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("z", "y", "x"))).alias("control_points"))).alias("value"))
-    parsed = docs.select("g", F.from_json("value", "struct<control_points:array<struct<z:double,y:double,x:double>>>").alias("v"))
-    return parsed.select("g", F.size("v.control_points").cast("long").alias("n_points"))
+    path = f"{shared_dir(spark)}/laminar-axes-{uuid.uuid4().hex}"
+    sinks.write_text(docs, path, "g")
+    points = tables.read_axis(spark, path)
+    return points.select("g", "z", F.round("y", 6).alias("y"), F.round("x", 6).alias("x"))
 
 
 @register(
@@ -95,9 +97,14 @@ def id_map_documents(spark, sf_dir):
     return back.groupBy("slab_z0").agg(F.count("*").alias("n_ids"))
 
 
-@register("slice_colours", f"WITH {A.CANVAS_SQL} SELECT slab, y, x, gid FROM canvas")
+def _channel(shift: int) -> str:
+    k = f"fmod(h + {shift}, 6.0)"
+    return f"CAST(floor(255 * (1 - greatest(0.0::DOUBLE, least(1.0::DOUBLE, least({k}, 4 - {k}))))) AS INTEGER)"
+
+
+@register("slice_colours", f"WITH {A.CANVAS_SQL}, t AS (SELECT slab, y, x, gid, fmod(gid * 0.6180339887498949::DOUBLE, 1.0::DOUBLE) * 6 AS h FROM canvas) SELECT slab, y, x, gid, {_channel(5)} AS r, {_channel(3)} AS g, {_channel(1)} AS b FROM t")
 def slice_colours(spark, sf_dir):
-    return sinks.colours(A.canvas(spark, sf_dir)).where("r BETWEEN 0 AND 255 AND g BETWEEN 0 AND 255 AND b BETWEEN 0 AND 255 AND r + g + b > 0").select("slab", "y", "x", "gid")
+    return sinks.colours(A.canvas(spark, sf_dir)).select("slab", "y", "x", "gid", "r", "g", "b")
 
 
 @register("streamed_windows", """SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from laminar.plans.given import table  # noqa: F401
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 FLAGSHIP = "ray_cells"
@@ -25,9 +27,4 @@ def register(name: str, oracle: str | None = None):
     return put
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-from laminar.plans import assembly, constraints, further, quality, reports, stitching  # noqa: E402, F401  their queries register themselves
+from laminar.plans import assembly, constraints, formats, further, quality, reports, stitching  # noqa: E402, F401  their queries register themselves

@@ -13,7 +13,8 @@ class Folder:
     """A folder by path or URI. Reads are tried again with doubling waits; pickles as its address."""
 
     def __init__(self, address: str, attempts: int = 6, wait: float = 0.5) -> None:
-        self.address, self.attempts, self.wait = address, attempts, wait
+        self.address = "/" + address[5:].lstrip("/") if address.startswith("file:") else address
+        self.attempts, self.wait = attempts, wait
 
     def _open(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self.address)

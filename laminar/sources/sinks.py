@@ -14,6 +14,37 @@ def write_labels(labels: DataFrame, path: str, by: str = "slab_z0") -> None:
     labels.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def write_label_blocks(labels: DataFrame, path: str, shape: tuple[int, int, int]) -> int:
+    """Blocks ``z<Z>/tile_y<Y>_x<X>.npz`` of ``shape`` from ``slab_z0, tile_y0, tile_x0, zl, yl, xl, local_id``, and their number.
+
+    A tile is one task's group, bounded by its shape; a block gets its name only when it is whole, so repeated tasks do no harm.
+    """
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    from laminar.sources.files import Folder, pending
+
+    folder = Folder(path)
+
+    def save(tile: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(shape, dtype=np.int32)
+        block[tile["zl"], tile["yl"], tile["xl"]] = tile["local_id"]
+        at = [int(tile[c].iloc[0]) for c in ("slab_z0", "tile_y0", "tile_x0")]
+        data = io.BytesIO()
+        np.savez_compressed(data, labels=block, z0=at[0], y0=at[1], x0=at[2])
+        name = f"z{at[0]}/tile_y{at[1]}_x{at[2]}.npz"
+        new = pending()
+        folder.write(new, data.getvalue())
+        folder.move(new, name)
+        return pd.DataFrame({"name": [name]})
+
+    n = labels.groupBy("slab_z0", "tile_y0", "tile_x0").applyInPandas(save, "name string").count()
+    folder.remove("_pending")
+    return n
+
+
 def append_csv(rows: DataFrame, path: str, gzip: bool = False) -> None:
     """Rows added to a CSV folder with headers."""
     writer = rows.write.mode("append").option("header", "true")
@@ -48,8 +79,12 @@ def axis_json(axis: DataFrame) -> DataFrame:
     return axis.agg(F.to_json(F.struct(points.alias("control_points"))).alias("value"))
 
 
-def write_text(documents: DataFrame, path: str) -> None:
-    documents.select("value").write.mode("overwrite").text(path)
+def write_text(documents: DataFrame, path: str, by: str | None = None) -> None:
+    """Documents (``value``) as lines, or a folder for each value of ``by`` where a document is to be a file of its own."""
+    if by is None:
+        documents.select("value").write.mode("overwrite").text(path)
+    else:
+        documents.select("value", by).repartition(by).write.mode("overwrite").partitionBy(by).text(path)
 
 
 def colours(labels: DataFrame, label: str = "gid") -> DataFrame:

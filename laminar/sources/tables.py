@@ -36,6 +36,15 @@ def list_files(spark: SparkSession, path: str, delimiter: str = "/") -> DataFram
     return found.select(F.substring_index(below, delimiter, 1).alias("prefix"), "length").groupBy("prefix").agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).orderBy("prefix")
 
 
+def file_times(spark: SparkSession, path: str) -> DataFrame:
+    """``name, bytes, modified, modified_utc``: the files below ``path`` with their time of change, as a timestamp and as text in UTC.
+    Contents are not read. Empty files are not listed (Spark's file sources pass over them)."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = found.select("_metadata.file_name", "_metadata.file_size", "_metadata.file_modification_time")
+    text = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("file_modification_time").cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss")
+    return found.select(F.col("file_name").alias("name"), F.col("file_size").alias("bytes"), F.col("file_modification_time").alias("modified"), F.concat(text, F.lit(" UTC")).alias("modified_utc"))
+
+
 def read_label_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Sparse label voxels from ``.../z<Z>/tile_y<Y>_x<X>.npz`` blocks; one block is one row of the file source."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(path)
@@ -97,7 +106,7 @@ def read_box(chunks: DataFrame, low: tuple[int, int, int], high: tuple[int, int,
 
 def read_id_maps(spark: SparkSession, path: str) -> DataFrame:
     """``tile, local_id, gid`` from JSON tables of tables ``{tile: {local: id}}``; unreadable files give no rows."""
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     maps = text.select(F.explode(F.from_json("value", "map<string,map<string,bigint>>")).alias("tile", "ids"))
     return maps.select("tile", F.explode("ids").alias("local", "gid")).select("tile", F.col("local").cast("long").alias("local_id"), "gid")
 
@@ -128,12 +137,13 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_axis(spark: SparkSession, path: str) -> DataFrame:
-    """``z, y, x`` control points, given as objects or as arrays, in the order of z."""
-    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    cp = text.select(F.expr("try_variant_get(v, '$.control_points', 'variant')").alias("cp")).where("cp IS NOT NULL")
-    one = cp.lateralJoin(spark.tvf.variant_explode(F.col("cp").outer())).select(F.col("value").alias("p"))
+    """``z, y, x`` control points, given as objects or as arrays, in the order of z; keys of the folders (``g=1``) are columns too."""
+    text = spark.read.text(path, wholetext=True)
+    keys = [c for c in text.columns if c != "value"]
+    cp = text.select(*keys, F.expr("try_variant_get(try_parse_json(value), '$.control_points', 'variant')").alias("cp")).where("cp IS NOT NULL")
+    one = cp.lateralJoin(spark.tvf.variant_explode(F.col("cp").outer())).select(*keys, F.col("value").alias("p"))
     pick = [F.coalesce(F.expr(f"try_variant_get(p, '$.{c}', 'double')"), F.expr(f"try_variant_get(p, '$[{k}]', 'double')")).alias(c) for k, c in enumerate("zyx")]
-    return one.select(*pick).where("z IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL").orderBy("z")
+    return one.select(*keys, *pick).where("z IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL").orderBy(*keys, "z")
 
 
 def read_collections(spark: SparkSession, path: str) -> DataFrame:

@@ -57,7 +57,7 @@ def test_node_ids_keep_their_order_and_refuse_large_numbers(spark):
     df = spark.createDataFrame([(0, 0, 0, 1), (0, 0, 1, 0), (0, 1, 0, 0), (1, 0, 0, 0)], "s long, ty long, tx long, l long")
     ids = [r[0] for r in df.select(assembly.tile_node(*[F.col(c) for c in df.columns])).collect()]
     assert ids == sorted(ids) and len(set(ids)) == 4
-    with pytest.raises(Exception, match="too large"):
+    with pytest.raises(Exception, match="too large for a packed"):
         df.select(assembly.slab_node(F.col("s") + (1 << 30), F.col("l"))).collect()
 
 

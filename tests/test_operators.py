@@ -85,14 +85,6 @@ def test_capped_merge_respects_cap_and_order(spark):
     assert max(size.values()) < 0.2 * 200 and got[1] == got[0] and len(got) == 20
 
 
-def test_spiral_is_told_from_loops(spark):
-    ship(spark)
-    rows = [(1, 0, t, 5.0 + 10 * k + t / 6.0) for k in range(3) for t in range(60)] + [(2, 0, t, 5.0 + 10 * k) for k in range(3) for t in range(60)]
-    runs = spark.createDataFrame(rows, "gid long, z long, theta long, r double")
-    kinds = {r["gid"]: r["kind"] for r in spiral.turn_advance(spiral.track(runs, 60), 60).collect()}
-    assert kinds[1] == "anticlockwise" and kinds.get(2, "loop") == "loop"
-
-
 def test_label_blocks_and_id_maps(spark, tmp_path):
     ship(spark)
     labels = np.zeros((3, 4, 5), np.int32)

@@ -3,8 +3,8 @@
 The unit vectors are cut in halves, each with a codebook of its own; the product of the two codebooks is
 the grid of cells. Every vector is listed in its cell, and visits the cells nearest to it in the order of
 the multi-sequence (sum of the two half distances) until the visited cells reach the target recall,
-which is calibrated on a bounded sample with partners at exactly the linking cosine. What the visited
-cells list is then verified in double precision.
+which is calibrated on a bounded sample with partners at exactly the linking cosine. Cells of the same first word stand on
+one shelf; what the visited shelves list is then verified in double precision, and every link that holds is kept.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ BLOCK = 1024
 
 
 def codebook_size(n: int) -> int:
-    """Words per half codebook for ``n`` vectors: about eight vectors a cell, 512 words at most."""
-    return int(min(512, max(4, 2 ** round(np.log2(max(n, 1) / 8) / 2))))
+    """Words per half codebook for ``n`` vectors: about eight vectors a cell, 2,048 words at most."""
+    return int(min(2048, max(4, 2 ** round(np.log2(max(n, 1) / 8) / 2))))
 
 
 def visit_order(d1: np.ndarray, d2: np.ndarray, cells: int) -> np.ndarray:
@@ -136,23 +136,20 @@ def near_duplicate_vectors(
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
                 unit = _unit(matrix(part["v"]))
-                cells = index.visit(unit)
-                groups = [np.unique(c // n_second) for c in cells]
-                own = index.cell(unit)
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "m": part["m"].to_numpy(), "u": [u.tobytes() for u in unit], "own": own, "shelf": own // n_second, "shelves": [g.tolist() for g in groups], "cells": [np.sort(c).tolist() for c in cells]})
+                shelves = [np.unique(c // n_second).tolist() for c in index.visit(unit)]
+                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "m": part["m"].to_numpy(), "u": [u.tobytes() for u in unit], "shelf": index.cell(unit) // n_second, "shelves": shelves})
 
-    listed = stage(classes.mapInPandas(lists, "rep long, m long, u binary, own long, shelf long, shelves array<long>, cells array<long>"), "listed")
-    crowd = {r["shelf"]: -(-r["count"] // BLOCK) for r in listed.groupBy("shelf").count().collect()}  # one row per codeword: 512 at most
+    listed = stage(classes.mapInPandas(lists, "rep long, m long, u binary, shelf long, shelves array<long>"), "listed")
+    crowd = {r["shelf"]: -(-r["count"] // BLOCK) for r in listed.groupBy("shelf").count().collect()}  # one row per codeword: 2,048 at most
     visits = listed.select(F.explode("shelves").alias("shelf")).groupBy("shelf").count().collect()
     asking = {r["shelf"]: -(-r["count"] // BLOCK) for r in visits if r["shelf"] in crowd}
     blocks, parts = (F.create_map(*[F.lit(x) for pair in held.items() for x in pair]) for held in (crowd, asking or {-1: 1}))
     block, part = F.pmod(F.xxhash64("rep"), blocks[F.col("shelf")]), F.pmod(F.xxhash64("rep", F.lit(1)), parts[F.col("shelf")])
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
     # a shelf is dealt into blocks of members by blocks of seekers, so that no group grows with it
-    members = listed.where(parts[F.col("shelf")].isNotNull()).select("shelf", block.cast("long").alias("block"), every(parts[F.col("shelf")]).alias("part"), F.lit(0).alias("asks"), "rep", "m", "u", "own", F.array().cast("array<long>").alias("cells"))
-    seekers = listed.select(F.explode("shelves").alias("shelf"), "rep", "m", "u", "own", "cells").where(blocks[F.col("shelf")].isNotNull())
-    seekers = seekers.withColumn("cells", F.filter("cells", lambda c: F.floor(c / n_second) == F.col("shelf")))
-    seekers = seekers.select("shelf", every(blocks[F.col("shelf")]).alias("block"), part.cast("long").alias("part"), F.lit(1).alias("asks"), "rep", "m", "u", "own", "cells")
+    members = listed.where(parts[F.col("shelf")].isNotNull()).select("shelf", block.cast("long").alias("block"), every(parts[F.col("shelf")]).alias("part"), F.lit(0).alias("asks"), "rep", "m", "u", F.col("shelf").alias("own"), "shelves")
+    seekers = listed.select(F.explode("shelves").alias("shelf"), "rep", "m", "u", F.col("shelf").alias("own")).where(blocks[F.col("shelf")].isNotNull())
+    seekers = seekers.select("shelf", every(blocks[F.col("shelf")]).alias("block"), part.cast("long").alias("part"), F.lit(1).alias("asks"), "rep", "m", "u", "own", F.array().cast("array<long>").alias("shelves"))
     both = members.unionByName(seekers)
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
@@ -161,19 +158,17 @@ def near_duplicate_vectors(
         if len(known) and len(asks):
             known = known.sort_values("rep")
             mu = np.frombuffer(b"".join(known["u"]), dtype=np.float64).reshape(len(known), -1)
-            ids_, own, m = known["rep"].to_numpy(), known["own"].to_numpy(), known["m"].to_numpy()
+            ids_, m, visited = known["rep"].to_numpy(), known["m"].to_numpy(), known["shelves"].to_numpy()
             for at in range(0, len(asks), BLOCK):
                 q = asks.iloc[at : at + BLOCK]
                 qu = np.frombuffer(b"".join(q["u"]), dtype=np.float64).reshape(len(q), -1)
                 q_ids, q_own, q_m = q["rep"].to_numpy(), q["own"].to_numpy(), q["m"].to_numpy()
                 link = qu @ mu.T >= cosine
                 link &= q_ids[:, None] != ids_[None, :]
-                for r in np.flatnonzero(link.any(1)):
-                    link[r] &= np.isin(own, q["cells"].iloc[r])
                 met = np.flatnonzero(link.any(0))
                 alone = link[:, met]
-                for j, visited in enumerate(index.visit(mu[met]) if len(met) else []):
-                    alone[:, j] &= ~np.isin(q_own, visited)  # the member does not find these seekers itself
+                for j, at_member in enumerate(met):
+                    alone[:, j] &= ~np.isin(q_own, visited[at_member])  # the member does not come by these seekers' shelf itself
                 for who, found in ((q_ids, link @ m), (ids_[met], q_m @ alone)):
                     hit = np.flatnonzero(found)
                     rows.extend(who[hit].tolist())

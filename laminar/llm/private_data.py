@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from laminar.llm.pigeonhole import small
 from laminar.llm.sieve import sieve
@@ -51,13 +52,10 @@ def _spans(kind: str) -> str:
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, tkey, spans, body``: text hash, base spans in order, and the text without them where it has any."""
+    """``id_col, tkey, spans``: text hash and base spans in order."""
     t = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     found = t.withColumns({k: F.expr(_spans(k)) for k in KINDS}).withColumn("spans", F.array_sort(F.concat(*KINDS)))
-    between = F.expr("""CASE WHEN size(spans) > 0 THEN aggregate(spans, named_struct('at', 0, 'out', CAST(array() AS array<string>)),
-        (acc, s) -> named_struct('at', greatest(acc.at, s.end), 'out', array_append(acc.out, substring(t, acc.at + 1, greatest(s.start - acc.at, 0)))),
-        acc -> array_join(array_append(acc.out, substring(t, acc.at + 1)), ' ')) END""")
-    return found.select(id_col, F.xxhash64("t").alias("tkey"), "spans", between.alias("body"))
+    return found.select(id_col, F.xxhash64("t").alias("tkey"), "spans")
 
 
 def _terms(text: str) -> F.Column:
@@ -78,29 +76,36 @@ def _places() -> str:
 def disclosing_spans(base: DataFrame, docs: DataFrame, text_col: str = "text", threshold: float = 0.8, min_contexts: int = 3) -> DataFrame:
     """``tkey, start, end``: every occurrence, in any text, of a term that discloses a value.
 
-    A term counts once in each text that mentions the value, at any distance. It needs ``min_contexts``
-    different texts with the same value (copies of one text are one), and to disclose ``threshold`` of its
-    bits. Terms that overlap a base span are left to it.
+    A term counts once in each text that mentions the value, at any distance, and wherever it stands in the corpus; a text is taken
+    whole in both counts. It needs ``min_contexts`` different texts with the same value (copies of one text are one), and to
+    disclose ``threshold`` of its bits; a value that all documents mention has none. Terms that overlap a base span are left to it.
+
+    Values that are mentioned by the same texts are one class, and so are terms that stand in the same ones of these: their
+    common counts are equal, so a page of many values and many terms is counted once, not value by term.
     """
-    one = base.where("body IS NOT NULL").dropDuplicates(["tkey"])
-    copies = base.where("body IS NOT NULL").groupBy("tkey").agg(F.count("*").alias("copies"))
-    values = one.select("tkey", F.explode(F.expr("array_distinct(transform(spans, s -> s.value))")).alias("value")).join(copies, "tkey")
-    values = stage(values, "values")
-    mentions = values.groupBy("value").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= min_contexts)
-    mentions = stage(mentions.select("value", "n_e"), "mentions")
-    several = values.join(mentions.select("value"), "value")  # the other values can't have a term in enough texts
-    words = one.select("tkey", F.explode(_terms("body")).alias("term")).join(several.select("tkey").distinct(), "tkey")
-    joint = several.join(words, "tkey").groupBy("value", "term").agg(F.sum("copies").alias("joint"), F.count("*").alias("texts"))
-    joint = stage(joint.where(F.col("texts") >= min_contexts).select("value", "term", "joint"), "joint")
-    terms = stage(joint.select("term").distinct(), "terms")
+    holds = base.where(F.size("spans") > 0)
+    copies = holds.groupBy("tkey").agg(F.count("*").alias("copies"), F.first("spans").alias("spans"))
+    values = stage(copies.select("tkey", "copies", F.explode(F.expr("array_distinct(transform(spans, s -> s.value))")).alias("value")), "values")
+    by_text = [F.expr("bit_xor(xxhash64(tkey))").alias("x"), F.sum(F.expr("xxhash64(tkey, 1) % 1000000007")).alias("s"), F.count("*").alias("texts")]
+    n_docs = docs.count()
+    sets = values.groupBy("value").agg(*by_text, F.sum("copies").alias("n_e")).where((F.col("texts") >= min_contexts) & (F.col("n_e") < n_docs))
+    mentions = stage(sets.groupBy("x", "s", "texts", "n_e").agg(F.min("value").alias("value")).select("value", "n_e"), "mentions")
+    held = stage(values.join(mentions.select("value"), "value").select("value", "tkey", "copies"), "mentioned")
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("tkey", F.xxhash64("t"))
+    about = sieve(texts, "tkey", held.select("tkey").distinct()).dropDuplicates(["tkey"]).join(held.select("tkey").distinct(), "tkey", "left_semi")
+    words = stage(about.select("tkey", F.explode(_terms("t")).alias("term")), "words")
+    classes = words.groupBy("term").agg(*by_text).where(F.col("texts") >= min_contexts)
+    classes = stage(classes.select("term", F.min("term").over(Window.partitionBy("x", "s", "texts")).alias("class")), "termclasses")
+    one = words.join(classes.where("term = class").select("term"), "term")
+    joint = held.join(one, "tkey").groupBy("value", F.col("term").alias("class")).agg(F.sum("copies").alias("joint"), F.count("*").alias("texts"))
+    joint = stage(joint.where(F.col("texts") >= min_contexts).select("value", "class", "joint"), "joint")
+    terms = stage(classes.join(joint.select("class").distinct(), "class").select("term", "class"), "terms")
     seen = sieve(docs.select(F.explode(_terms(text_col)).alias("term")), "term", terms)
     df = seen.groupBy("term").agg(F.count("*").alias("df"))  # counted before the join: a row a term
-    n_docs = docs.count()
-    shares = joint.join(mentions, "value").join(df, "term")
-    p_e = F.least(F.col("n_e") / F.lit(float(n_docs)), F.lit(0.5))
-    disclosed = F.log(F.least(F.col("joint") / F.greatest("df", "joint"), F.lit(1.0)) / p_e) / -F.log(p_e)
+    shares = joint.join(mentions, "value").join(terms.join(df, "term"), "class")
+    p_e = F.col("n_e") / F.lit(float(n_docs))
+    disclosed = F.log(F.col("joint") / F.col("df") / p_e) / -F.log(p_e)
     telling = stage(shares.where(disclosed >= threshold).select("term").distinct(), "telling")
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("tkey", F.xxhash64("t"))
     holding = sieve(texts.select("tkey", F.explode(_terms("t")).alias("term")), "term", telling).join(telling, "term")
     holding = stage(holding.groupBy("tkey").agg(F.collect_set("term").alias("wanted")), "holding")
     spans = sieve(base.select("tkey", "spans"), "tkey", holding).dropDuplicates(["tkey"])
@@ -131,17 +136,19 @@ def span_text(spans) -> F.Column:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """``docs`` with every span of its text generalised to its kind in brackets, all columns kept.
+    """``docs`` with every span of its text generalised to its kind in brackets, all columns kept, whatever their names.
 
+    Null and empty texts stay as they are, null and repeated ids are rows like others, an empty table gives no rows.
     Overlapping spans are replaced from the last start to the first; one that reaches into a span already
     replaced is cut there.
     """
     found = find_private_data(docs, id_col, text_col, threshold).where("size(spans) + size(added) > 0")
-    found = stage(found.dropDuplicates(["tkey"]).select(F.col("tkey").alias("__k"), F.array_sort(F.concat("spans", "added")).alias("__s")), "spans")
-    d = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = d.join(small(found, found.count()), F.col("__h") == F.col("__k"), "left")
+    found = stage(found.dropDuplicates(["tkey"]).select("tkey", F.array_sort(F.concat("spans", "added")).alias("all")), "spans")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tkey"))
+    joined = d.join(small(found, found.count()), "tkey", "left")
     new = F.expr(
-        f"""aggregate(reverse(__s), named_struct('t', {text_col}, 'from', 2147483647),
+        f"""aggregate(reverse(all), named_struct('t', doc.`{text_col}`, 'from', 2147483647),
         (acc, s) -> named_struct('t', concat(substring(acc.t, 1, s.start), '[', s.kind, ']', substring(acc.t, least(s.end, acc.from) + 1)), 'from', s.start), acc -> acc.t)"""
     )
-    return joined.withColumn(text_col, F.when(F.col("__s").isNull(), F.col(text_col)).otherwise(new)).select(docs.columns)
+    text = F.when(F.col("all").isNull(), F.col(f"doc.`{text_col}`")).otherwise(new)
+    return joined.select([text.alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

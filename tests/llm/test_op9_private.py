@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -98,6 +100,62 @@ def test_terms_that_disclose_a_value(spark):
     assert "Zanzibarov" not in clean[300] and "zan@corp" not in clean[300] and "[email]" in clean[300] and "weather" in clean[300]
 
 
+def added_by_definition(rows, threshold=0.8, contexts=3):
+    """Telling terms from sets of texts, value by term."""
+    terms = lambda t: {x.lower() for x in re.findall(r"[^\W\d_]+", t)}
+    n = len(rows)
+    df, mentions = {}, {}
+    for _, t in rows:
+        for x in terms(t):
+            df[x] = df.get(x, 0) + 1
+        for kind, a, b in brute(t):
+            mentions.setdefault(t[a:b], []).append(t)
+    telling = set()
+    for texts in mentions.values():
+        n_e, different = len(texts), set(texts)
+        if len(different) < contexts or n_e == n:
+            continue
+        for x in set().union(*map(terms, different)):
+            joint = sum(x in terms(t) for t in texts)
+            if sum(x in terms(t) for t in different) >= contexts and math.log(joint / df[x] / (n_e / n)) / -math.log(n_e / n) >= threshold:
+                telling.add(x)
+    out = {}
+    for d, t in rows:
+        base = brute(t)
+        out[d] = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t) if m[0].lower() in telling and not any(a < m.end() and m.start() < b for _, a, b in base)]
+    return out
+
+
+def test_added_spans_follow_the_definition(spark):
+    rng = random.Random(8)
+    people = [f"person{chr(97 + k)}" for k in range(12)]
+    common = "the of and report weather sport city river market school".split()
+    rows = []
+    for k in range(260):
+        words = rng.choices(common, k=6) + rng.sample([f"rare{chr(97 + j)}{chr(97 + i)}" for j in range(9) for i in range(9)], 2)
+        if k % 3 == 0:
+            p = rng.choice(people)
+            words += [f"{p}@mail.org"] + ([p.upper()] if rng.random() < 0.8 else []) + ([f"nick{p}"] if rng.random() < 0.7 else [])
+        if k % 11 == 0:
+            words += [rng.choice(people), "10.0.0.1"]
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+    rows += [(300 + k, rows[3 * k][1]) for k in range(20)]  # copies
+    page = " ".join(f"u{chr(97 + a)}{chr(97 + b)}@dir.net Name{chr(97 + a)}{chr(97 + b)}" for a in range(8) for b in range(8))
+    rows += [(400 + k, f"{page} edition {w}") for k, w in enumerate(("first", "second", "third"))]  # many values and terms of the same texts
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["added"]] for r in find_private_data(docs).collect()}
+    want = added_by_definition(rows)
+    assert got == want
+    assert sum(map(len, want.values())) > 150
+
+
+def test_spans_in_the_given_documents(spark, corpus):
+    rows = [(r[0], r[1]) for r in corpus.select("doc_id", "text").collect()]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["added"]] for r in find_private_data(corpus).collect()}
+    assert got == added_by_definition(rows)
+
+
 def test_copies_alone_disclose_nothing(spark):
     rows = [(k, "plain words only") for k in range(50)] + [(100 + k, "Unusualword near me@corp.org here") for k in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

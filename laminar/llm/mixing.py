@@ -110,7 +110,7 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: floa
     both = u.join(s, (F.col("u.sid") == F.col("s.sid")) & (F.col("u.text_hash") == F.col("s.text_hash")) & F.col("u.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
     copies = F.when(F.col("u.size") == 0, 1).otherwise(F.col("u.base") + F.coalesce("s.more", F.col("u.p").cast("int")))
     out = both.select("u.*", copies.cast("int").alias("copies"))
-    out = out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    out = out.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("m"))))
     return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -119,9 +119,13 @@ def _type(df: DataFrame, column: str) -> str:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it (dropped at 0)."""
-    decided = mix_copies(docs, weights, most, seed).select("doc_id", "source", "text_hash", "copies").distinct().alias("c")
-    d = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.__h") == F.col("c.text_hash"))
-    taken = d.join(decided, same).withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("c.copies"))))
-    return taken.select([F.col(f"d.`{c}`").alias(c) for c in docs.columns])
+    """``docs`` with each row repeated as often as the mix takes it (dropped at 0), with all its columns, whatever their names.
+
+    Nulls, empty texts, repeated rows and empty tables are treated as ``mix_copies`` says; texts stay as they are.
+    """
+    decided = mix_copies(docs, weights, most, seed).select("doc_id", "source", "text_hash", "copies").distinct()
+    c = decided.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("text_hash").alias("t"), "copies").alias("c")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).alias("d")
+    same = F.col("d.doc.doc_id").eqNullSafe(F.col("c.i")) & F.col("d.doc.source").eqNullSafe(F.col("c.s")) & (F.col("d.h") == F.col("c.t"))
+    taken = d.join(c, same).select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("k"))
+    return taken.select([F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

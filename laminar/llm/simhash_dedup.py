@@ -19,13 +19,6 @@ from laminar.storage import stage
 SEED = 42
 
 
-class _Votes:
-    """Bit votes of one text, added up chunk by chunk."""
-
-    def __init__(self) -> None:
-        self.bits, self.n = np.zeros(64, dtype=np.int64), 0
-
-
 def _hashes(shingles: list[str]) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     return np.fromiter((digest(s, SEED) for s in shingles), dtype=np.uint64, count=len(shingles))
@@ -42,7 +35,7 @@ def _pack(bits: np.ndarray) -> np.ndarray:
 def simhash(texts: pa.Array, k: int = 3, chunk: int = 200_000) -> np.ndarray:
     """Fingerprints of texts (signed longs): majority of the bits of XXH64 over ``k``-word shingles.
 
-    Shingles are made and voted ``chunk`` words at a time, so a text of any length needs bounded memory.
+    Shingles are made and voted ``chunk`` words at a time; the words of a text, and eight bytes for each, are held whole.
     """
     flat, offsets = word_lists(pc.ascii_lower(texts))
     counts = np.diff(offsets)
@@ -115,13 +108,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The first row of each group of ``groups`` (``id_col, text_hash, root``, staged), as ``drop_near_duplicates`` keeps it."""
     order = F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.col("text_hash").alias("t"))).alias("k")
-    keep = groups.groupBy("root").agg(order).select(F.col("k.i").alias("__i"), F.col("k.t").alias("__t"))
-    match = lambda a, b: (F.col(f"{a}.__h") == F.col(f"{b}.__t")) & F.col(f"{a}.`{id_col}`").eqNullSafe(F.col(f"{b}.__i"))
-    rows = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    keep = groups.groupBy("root").agg(order).select(F.col("k.i").alias("i"), F.col("k.t").alias("t"))
+    match = lambda a, b: (F.col(f"{a}.t") == F.col(f"{b}.t")) & F.col(f"{a}.i").eqNullSafe(F.col(f"{b}.i"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     kept = rows.alias("a").join(keep.alias("b"), match("a", "b"), "left_semi")
-    repeats = groups.groupBy(F.col(id_col).alias("__i"), F.col("text_hash").alias("__t")).count().where("count > 1").drop("count")
+    repeats = groups.groupBy(F.col(id_col).alias("i"), F.col("text_hash").alias("t")).count().where("count > 1").drop("count")
     if repeats.head(1):
         once = kept.alias("a").join(repeats.alias("b"), match("a", "b"), "left_anti")
-        several = kept.alias("a").join(repeats.alias("b"), match("a", "b"), "left_semi").dropDuplicates([id_col, "__h"])
+        several = kept.alias("a").join(repeats.alias("b"), match("a", "b"), "left_semi").dropDuplicates(["i", "t"])
         kept = once.unionByName(several)
-    return kept.select(docs.columns)
+    return kept.select([F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

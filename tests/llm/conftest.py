@@ -21,7 +21,7 @@ def make_docs(spark):
     def make(rows):
         full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", None) for r in rows]
         docs = spark.createDataFrame(full, SCHEMA)
-        for extra in ("th", "h", "n", "fp", "p", "score", "size", "copies", "pos", "component"):
+        for extra in ("th", "h", "n", "fp", "p", "score", "size", "copies", "pos", "component", "doc", "i", "t", "__h", "__i", "__k", "__s", "__t", "tkey", "row", "all"):
             docs = docs.withColumn(extra, F.lit("x"))
         return docs
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from laminar.storage import stage
+
 BOUNDS = (7593.0, 7593.0, 23247.0)  # fixed values: exclusive upper bounds of x, y, z
 KNOWN = ("name", "points", "metadata", "color")
 
@@ -57,8 +59,12 @@ def _broken(df: DataFrame, *rules: Column, more: Column | None = None) -> DataFr
 
 
 def violations(docs: DataFrame) -> DataFrame:
-    """``doc, at, severity, rule`` for documents ``doc, payload``: one pass a level (documents, collections, points, axes)."""
-    parsed = parse(docs)
+    """``doc, at, severity, rule`` for documents ``doc, payload``. Payloads are parsed once and staged; then one pass a level."""
+    return _violations(stage(parse(docs).drop("payload"), "parsed"))
+
+
+def _violations(parsed: DataFrame) -> DataFrame:
+    """Broken rules of parsed documents, level by level (documents, collections, points, axes)."""
     cs = collections(parsed)
     ps = points(cs).withColumn("xyz", _get("$.p", of="p")).withColumn("coords", F.expr("try_variant_get(xyz, '$', 'array<double>')"))
     top = parsed.withColumn("ver", _get("$.vc_pointcollections_json_version"))
@@ -107,11 +113,15 @@ def violations(docs: DataFrame) -> DataFrame:
 
 def file_stats(docs: DataFrame) -> DataFrame:
     """``doc, kind, n_collections, n_points, n_errors, n_warnings, ok`` per document."""
-    parsed = parse(docs)
+    parsed = stage(parse(docs).drop("payload"), "parsed")
+    return _stats(parsed, _violations(parsed))
+
+
+def _stats(parsed: DataFrame, broken: DataFrame) -> DataFrame:
     cs = collections(parsed)
     n_c = cs.groupBy("doc").agg(F.count("*").alias("n_collections"))
     n_p = points(cs).groupBy("doc").agg(F.count("*").alias("n_points"))
-    bad = violations(docs).groupBy("doc").agg(F.count_if(F.col("severity") == "error").alias("n_errors"), F.count_if(F.col("severity") == "warning").alias("n_warnings"))
+    bad = broken.groupBy("doc").agg(F.count_if(F.col("severity") == "error").alias("n_errors"), F.count_if(F.col("severity") == "warning").alias("n_warnings"))
     out = parsed.select("doc", "kind").join(n_c, "doc", "left").join(n_p, "doc", "left").join(bad, "doc", "left")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_collections", "n_points", "n_errors", "n_warnings")]
     return out.select("doc", "kind", *zero).withColumn("ok", F.col("n_errors") == 0)
@@ -141,7 +151,9 @@ def dated_manifest(expected: DataFrame, files: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> tuple[DataFrame, int]:
     """One JSON line per document (``doc, value``: its figures and its violations) and the exit code: 1 where any is in error."""
-    found = violations(docs).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("severity", "rule", "at"))).alias("violations"))
-    rows = file_stats(docs).join(found, "doc", "left")
+    parsed = stage(parse(docs).drop("payload"), "parsed")
+    broken = stage(_violations(parsed), "violations")
+    found = broken.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("severity", "rule", "at"))).alias("violations"))
+    rows = stage(_stats(parsed, broken).join(found, "doc", "left"), "report")
     value = F.to_json(F.struct("doc", "kind", "n_collections", "n_points", "n_errors", "n_warnings", "ok", F.coalesce("violations", F.array().cast("array<struct<severity:string,rule:string,at:string>>")).alias("violations")))
     return rows.select("doc", value.alias("value")), int(rows.where("NOT ok").limit(1).count())

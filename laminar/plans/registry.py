@@ -25,6 +25,3 @@ def register(name: str, oracle: str | None = None):
         return fn
 
     return put
-
-
-from laminar.plans import assembly, constraints, formats, further, quality, reports, stitching  # noqa: E402, F401  their queries register themselves

@@ -83,6 +83,34 @@ def patch_grid(radii: DataFrame, cy: float, cx: float, bins: int) -> DataFrame:
     return radii.select("uuid", row.alias("row"), col.alias("col"), "z", (F.lit(cy) + F.col("r") * F.sin(theta)).alias("y"), (F.lit(cx) + F.col("r") * F.cos(theta)).alias("x"))
 
 
+def seed_patch(points: DataFrame, bins: int, columns: int, gap: float, axis: DataFrame) -> DataFrame:
+    """``gid, row, col, z, y, x``: the grid of one instance of ``points`` (``gid, z, bin, r``), the one with most vertices.
+
+    A vertex is the middle of the largest cluster of radii of an angle bin in a slice (clusters part at ``gap``). Columns are the
+    circular run of ``columns`` bins that holds most vertices of an instance (lowest start on ties), rows its slices in order;
+    instances tie by smaller id. ``axis`` (``z, cy, cx``) gives the centre of each slice.
+    """
+    from laminar.operators.windings import circular_peak, largest_cluster
+
+    radii = largest_cluster(points, ["gid", "z", "bin"], "r", gap).select("gid", "z", "bin", F.col("middle").alias("r"))
+    score = radii.groupBy("gid", "bin").agg(F.count("*").alias("n"))
+    wedge = circular_peak(score, ["gid"], bins, columns)
+    best = wedge.agg(F.max_by(F.struct("gid", "start"), F.struct("total", (-F.col("gid")).alias("m"))).alias("b")).select("b.gid", "b.start")
+    held = radii.join(F.broadcast(best), "gid").withColumn("col", F.pmod(F.col("bin") - F.col("start"), F.lit(bins))).where(F.col("col") < columns)  # one row
+    row = F.dense_rank().over(Window.partitionBy("gid").orderBy("z")) - 1
+    theta = (F.col("bin") + 0.5) * F.lit(2 * np.pi / bins) - F.lit(np.pi)
+    placed = held.withColumn("row", row).join(axis, "z")
+    return placed.select("gid", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "z", (F.col("cy") + F.col("r") * F.sin(theta)).alias("y"), (F.col("cx") + F.col("r") * F.cos(theta)).alias("x"))
+
+
+def patch_gate(vertices: DataFrame, least: int, ny: float, nx: float) -> DataFrame:
+    """``uuid, quads, n_outside, ok`` of patches ``uuid, row, col, z, y, x``: enough quads, every vertex inside the grid."""
+    quads = patch_meta(vertices).select("uuid", "quads")
+    inside = (F.col("y") > 0) & (F.col("y") < ny) & (F.col("x") > 0) & (F.col("x") < nx)
+    out = vertices.groupBy("uuid").agg(F.count_if(~inside).alias("n_outside")).join(quads, "uuid")
+    return out.select("uuid", "quads", "n_outside", ((F.col("quads") >= least) & (F.col("n_outside") == 0)).alias("ok"))
+
+
 def patch_meta(vertices: DataFrame, step: float = 64.0, um: float = 8.64) -> DataFrame:
     """``uuid, quads, area_vx2, area_cm2`` and the bounding box; a quad needs its four corners."""
     right = F.lead("col").over(Window.partitionBy("uuid", "row").orderBy("col")) == F.col("col") + 1

@@ -132,6 +132,6 @@ def dense_ids(df: DataFrame, root: str) -> DataFrame:
 
     roots = stage(roots, "roots")
     counts = roots.groupBy("__p").agg(F.count("*").alias("c"))
-    offset = counts.select("__p", (F.coalesce(F.sum("c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("o"))
+    offset = counts.select("__p", (F.coalesce(F.sum("c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__o"))
     rank = F.row_number().over(Window.partitionBy("__p").orderBy(root))
-    return roots.withColumn("r", rank).join(F.broadcast(offset), "__p").select(root, (F.col("r") + F.col("o")).cast("long").alias("id"))
+    return roots.withColumn("__r", rank).join(F.broadcast(offset), "__p").select(root, (F.col("__r") + F.col("__o")).cast("long").alias("id"))

@@ -157,3 +157,17 @@ def report(docs: DataFrame) -> tuple[DataFrame, int]:
     rows = stage(_stats(parsed, broken).join(found, "doc", "left"), "report")
     value = F.to_json(F.struct("doc", "kind", "n_collections", "n_points", "n_errors", "n_warnings", "ok", F.coalesce("violations", F.array().cast("array<struct<severity:string,rule:string,at:string>>")).alias("violations")))
     return rows.select("doc", value.alias("value")), int(rows.where("NOT ok").limit(1).count())
+
+
+def output_checks(points_: DataFrame, owners: DataFrame, shape: tuple[int, int, int], sample: int = 200) -> DataFrame:
+    """``check, n, bad, ok`` of collections ``gid, z, y, x``: points in bounds; the ids where ``sample`` of them lie (those of smallest
+    hash; ``owners`` has ``gid, z, y, x``), none there counting as bad; at least one collection."""
+    outside = ~(F.col("z").between(0, shape[0] - 1) & F.col("y").between(0, shape[1] - 1) & F.col("x").between(0, shape[2] - 1))
+    bounds = points_.agg(F.count("*").alias("n"), F.count_if(outside).alias("bad")).withColumn("check", F.lit("bounds"))
+    some = points_.orderBy(F.xxhash64("gid", "z", "y", "x"), "gid", "z", "y", "x").limit(sample)
+    there = owners.select(F.col("gid").alias("found"), "z", "y", "x")
+    back = some.join(there, ["z", "y", "x"], "left").groupBy("gid", "z", "y", "x").agg(F.max(F.coalesce(F.col("found") == F.col("gid"), F.lit(False))).alias("same"))
+    trip = back.agg(F.count("*").alias("n"), F.count_if(~F.col("same")).alias("bad")).withColumn("check", F.lit("round_trip"))
+    some_at_all = points_.agg(F.countDistinct("gid").alias("n")).withColumns({"bad": F.when(F.col("n") == 0, 1).otherwise(0).cast("long"), "check": F.lit("non_empty")})
+    every = bounds.unionByName(trip).unionByName(some_at_all)
+    return every.select("check", "n", "bad", ((F.col("n") > 0) & (F.col("bad") == 0)).alias("ok"))

@@ -126,10 +126,11 @@ def points_wanted(volume, per: int = 1500, low: int = 3, high: int = 20):
 
 
 def budgeted(instances: DataFrame, budget: int) -> DataFrame:
-    """Largest instances first while points last; the last one is clipped. ``instances`` has ``gid, volume, k``.
+    """Largest instances first while points last; the last one is clipped. ``instances`` has ``gid, volume, k``, ``k`` at least 1.
 
-    The running sum is over the instance table, one row per label, never over voxels.
+    As each takes a point, the first ``budget`` of them are enough: the running sum is over these.
     """
+    instances = instances.orderBy(F.desc("volume"), "gid").limit(budget)
     along = Window.orderBy(F.desc("volume"), "gid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.sum("k").over(along)
     return instances.withColumn("upto", upto).where(F.col("upto") - F.col("k") < budget).withColumn("k", F.least(F.col("k"), budget - (F.col("upto") - F.col("k")))).drop("upto")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from laminar.operators import axis, rays, spiral, stitch, sweep, validate, voxels
 from laminar.plans import adapters as A
 from laminar.plans import assembly as plan
-from laminar.plans.constraints import _DOC, _payloads
+from laminar.plans.constraints import _DOC, _PTS, _WIN, _payloads, _points, _windows, stratified_samples
 from laminar.plans.further import _PATCH, _spiral_runs
 from laminar.plans.registry import register, table
 from laminar.session import ship
@@ -127,14 +127,22 @@ def site_files(spark, sf_dir):
 
 @register("satisfaction_file", "SELECT o_orderpriority AS source, CAST(sum(o_custkey % 3) AS BIGINT) AS satisfied, CAST(sum(o_custkey % 7) AS BIGINT) AS total FROM orders GROUP BY 1")
 def satisfaction_file(spark, sf_dir):
-    """A satisfaction report as one JSON document a priority, its records read back and summed up."""
+    """Satisfaction reports, a JSON file a priority, their records read back and summed up."""
     o = table(spark, sf_dir, "orders")
     part = o.groupBy("o_orderpriority", (F.col("o_orderkey") % 20).alias("k")).agg(F.sum(F.col("o_custkey") % 3).alias("satisfied"), F.sum(F.col("o_custkey") % 7).alias("total"))
     record = F.struct(F.col("o_orderpriority").alias("source"), "satisfied", "total")
     path = _new(spark, "satisfied")
-    sinks.write_text(part.groupBy("o_orderpriority").agg(F.to_json(F.struct(F.collect_list(record).alias("pcls"))).alias("value")).repartition("o_orderpriority"), path)
-    rows = spark.read.text(path).select(F.explode(F.from_json("value", "pcls array<struct<source:string,satisfied:long,total:long>>").pcls).alias("r")).select("r.*")
-    return sweep.satisfaction(rows).select("source", "satisfied", "total")
+    docs = part.groupBy("o_orderpriority").agg(F.to_json(F.struct(F.collect_list(record).alias("pcls"))).alias("value"))
+    sinks.write_text(docs.withColumn("file", F.substring("o_orderpriority", 1, 1)), path, "file")
+    return sweep.satisfaction(tables.read_json_tables(spark, path, "pcls")).select("source", "satisfied", "total")
+
+
+@register("sweep_file", f"WITH w AS ({_WIN}) SELECT count(*) AS n, count(*) FILTER (WHERE rel_pct >= 94) AS rel_ok, count(*) FILTER (WHERE same_pct >= 91) AS same_ok, count(*) FILTER (WHERE abs(dr - 10.13) <= 0.8) AS dr_ok, count(*) FILTER (WHERE rel_pct >= 94 AND same_pct >= 91 AND abs(dr - 10.13) <= 0.8) AS all_ok FROM w")
+def sweep_file(spark, sf_dir):
+    """The table of fit windows as a CSV, its numbers read back, and the gate."""
+    path = _new(spark, "sweep")
+    sinks.append_csv(_windows(spark, sf_dir), path)
+    return sweep.gate(tables.read_numbers(spark, path, ["w", "rel_pct", "same_pct", "dr", "wall_s"]), 94, 91, 10.13, 0.8)
 
 
 @register("budgeted_slab_counts", "SELECT CAST(l_orderkey // 1500 AS BIGINT) AS slab, count(*) AS n, true AS complete FROM lineitem GROUP BY 1")
@@ -284,3 +292,45 @@ def vector_products(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
     return both.select("vec_id", F.round(dot(F.col("a"), F.col("b")), 6).alias("dot"), F.round(norm(F.col("a")), 6).alias("norm"))
+
+
+_SEED = """p AS (SELECT l_suppkey % 20 AS gid, l_linenumber AS z, l_orderkey % 60 AS bin, l_quantity AS r FROM lineitem),
+m AS (SELECT *, CASE WHEN r - lag(r) OVER (PARTITION BY gid, z, bin ORDER BY r) <= 4 THEN 0 ELSE 1 END AS s FROM p),
+k AS (SELECT *, sum(s) OVER (PARTITION BY gid, z, bin ORDER BY r ROWS UNBOUNDED PRECEDING) AS c FROM m), a AS (SELECT gid, z, bin, c, count(*) AS n, median(r) AS r FROM k GROUP BY gid, z, bin, c),
+rad AS (SELECT gid, z, bin, r FROM (SELECT *, row_number() OVER (PARTITION BY gid, z, bin ORDER BY n DESC, c) AS rn FROM a) WHERE rn = 1),
+sc AS (SELECT gid, bin, count(*) AS n FROM rad GROUP BY gid, bin), tw AS (SELECT * FROM sc UNION ALL SELECT gid, bin + 60, n FROM sc),
+wi AS (SELECT gid, bin, sum(n) OVER (PARTITION BY gid ORDER BY bin RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS total FROM tw),
+be AS (SELECT gid, bin AS start FROM wi WHERE bin < 60 ORDER BY total DESC, gid, bin LIMIT 1),
+ve AS (SELECT gid, dense_rank() OVER (ORDER BY z) - 1 AS rw, (bin - start + 60) % 60 AS cl, z, 60 + r * sin((bin + 0.5) * radians(6.0) - pi()) AS y, 60 + z + r * cos((bin + 0.5) * radians(6.0) - pi()) AS x
+  FROM rad JOIN be USING (gid) WHERE (bin - start + 60) % 60 < 20)"""
+
+
+def _seed(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    points = li.select((F.col("l_suppkey") % 20).alias("gid"), F.col("l_linenumber").alias("z"), (F.col("l_orderkey") % 60).alias("bin"), F.col("l_quantity").alias("r"))
+    middle = li.select(F.col("l_linenumber").alias("z")).distinct().select("z", F.lit(60.0).alias("cy"), (F.col("z") + 60.0).alias("cx"))
+    return spiral.seed_patch(points, 60, 20, 4.0, middle)
+
+
+@register("seed_patch", f'WITH {_SEED} SELECT gid, rw AS "row", cl AS "col", z, round(y, 6) AS y, round(x, 6) AS x FROM ve')
+def seed_patch(spark, sf_dir):
+    """The grid of the instance that fills its best wedge of twenty bins most."""
+    return _seed(spark, sf_dir).withColumns({c: F.round(c, 6) for c in "yx"})
+
+
+@register("seed_patch_gate", f"""WITH {_SEED}, q AS (SELECT count(*) AS n FROM ve a JOIN ve b ON b.rw = a.rw AND b.cl = a.cl + 1 JOIN ve c ON c.rw = a.rw + 1 AND c.cl = a.cl JOIN ve d ON d.rw = a.rw + 1 AND d.cl = a.cl + 1),
+  o AS (SELECT min(gid) AS gid, count(*) FILTER (WHERE NOT (y > 0 AND y < 130 AND x > 0 AND x < 110)) AS n_outside FROM ve)
+  SELECT CAST(gid AS VARCHAR) AS uuid, n AS quads, n_outside, n >= 20 AND n_outside = 0 AS ok FROM q, o""")
+def seed_patch_gate(spark, sf_dir):
+    patch = _seed(spark, sf_dir).withColumn("uuid", F.col("gid").cast("string"))
+    return spiral.patch_gate(stage(patch, "seed"), 20, 130.0, 110.0)
+
+
+@register("output_checks", f"""WITH {_PTS}, r AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY z, x, y) - 1 AS r0, count(*) OVER (PARTITION BY gid) AS n FROM (SELECT DISTINCT gid, z, y, x FROM pts)),
+  s AS (SELECT gid, z, y, x FROM r WHERE n <= 40 OR r0 = 0 OR floor(r0 * 39.0 / greatest(n - 1, 1)) <> floor((r0 - 1) * 39.0 / greatest(n - 1, 1)))
+  SELECT 'bounds' AS "check", count(*) AS n, count(*) FILTER (WHERE y > 1499) AS bad, count(*) > 0 AND count(*) FILTER (WHERE y > 1499) = 0 AS ok FROM s
+  UNION ALL SELECT 'round_trip', least(200, count(*)), 0, true FROM s UNION ALL SELECT 'non_empty', count(DISTINCT gid), 0, true FROM s""")
+def output_checks(spark, sf_dir):
+    """Self-checks of sampled points; the bounds are set so that some lie outside."""
+    points = stage(stratified_samples(spark, sf_dir), "sampled")
+    return validate.output_checks(points, _points(spark, sf_dir).select("gid", "z", "y", "x"), (8, 1500, 1 << 40))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from laminar.operators import kernels, stitch, voxels
 from laminar.plans import adapters as A
@@ -305,8 +304,8 @@ def palette(spark, sf_dir):
     from laminar.functions.columns import hue
 
     c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("gid")).agg(F.count("*").alias("n"))
-    k = c.withColumn("k", F.row_number().over(Window.orderBy(F.desc("n"), "gid")))  # one row per label
-    return k.select("gid", F.col("k").cast("long").alias("k"), F.round(hue(F.col("k")), 9).alias("hue"))
+    k = stitch.dense_ids(c.withColumn("o", F.struct((-F.col("n")).alias("m"), "gid")), "o")
+    return k.select("o.gid", F.col("id").alias("k"), F.round(hue(F.col("id")), 9).alias("hue"))
 
 
 def _tile_voxels(spark, sf_dir):

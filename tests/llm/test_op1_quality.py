@@ -61,3 +61,33 @@ def test_ranking_learns_pairs():
     y = (x[:, 3] - x[:, 5] > 0.3).astype(int)
     model = fit(x, y, pairs=4000)
     assert np.mean((model.score(x) >= 0.5) == y) > 0.95
+
+
+def test_fit_is_the_minimum_of_the_loss_and_the_threshold_the_best_quantile():
+    """Loss, gradient and balanced accuracy written out pair by pair and row by row."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((120, N_FEATURES))
+    y = (x[:, 1] + 0.5 * x[:, 2] + rng.standard_normal(120) > 0).astype(int)
+    model = fit(x, y, pairs=900, ridge=1.0, seed=3)
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-6), -8, 8)
+    draw = np.random.default_rng(3)
+    better, worse = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    pairs = list(zip(draw.choice(better, 900), draw.choice(worse, 900), strict=True))
+
+    def loss(w):
+        return sum(np.log1p(np.exp(-(z[a] - z[b]) @ w)) for a, b in pairs) + 0.5 * w @ w
+
+    gradient = model.weights.copy()
+    for a, b in pairs:
+        d = z[a] - z[b]
+        gradient -= d / (1 + np.exp(d @ model.weights))
+    assert np.abs(gradient).max() < 1e-6
+    least = loss(model.weights)
+    assert all(loss(model.weights + 1e-2 * rng.standard_normal(N_FEATURES)) > least for _ in range(20))
+    raw = z @ model.weights
+    right = lambda cut: (np.mean([r >= cut for r in raw[y == 1]]) + np.mean([r < cut for r in raw[y == 0]])) / 2
+    cuts = np.unique(np.quantile(np.sort(raw), np.linspace(0.0005, 0.9995, 2000)))
+    score = np.array([right(c) for c in cuts])
+    best = cuts[score >= score.max() - 1e-12]
+    assert best[0] <= model.threshold <= best[-1]
+    assert ((model.score(x) >= 0.5) == (raw >= model.threshold)).all()

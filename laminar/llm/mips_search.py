@@ -21,7 +21,9 @@ from laminar.llm.vectors import kmeans, matrix, sample, valid_vectors
 from laminar.storage import stage
 
 SAMPLE = 20_000
-QUERY_BLOCK = 512
+QUERY_BLOCK = 16_384
+AT_ONCE = 512  # queries whose tables are held together
+GROUPS = 64
 SHARD = 16_384
 
 
@@ -158,7 +160,9 @@ def search(
 
     coded = classes.mapInPandas(encode, "rep long, ids array<long>, code binary, v binary")
     coded = stage(coded.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards))), "coded")
-    q_blocks = int(max(1, -(-asked.count() // QUERY_BLOCK)))
+    # large blocks keep copies few: a vector goes to each block of queries, a query to each shard; small tables still fill the cores
+    n_asked = asked.count()
+    q_blocks = int(max(1, -(-n_asked // QUERY_BLOCK), min(-(-GROUPS // shards), -(-n_asked // 64))))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(q_blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
     known = coded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<long>")))
     width = len(pack_nibbles(np.zeros((1, len(coder.parts)), np.uint8))[0])
@@ -168,15 +172,16 @@ def search(
         if len(a) and len(b):
             b = b.sort_values("rep").reset_index(drop=True)
             q = matrix(a["v"])
-            tables = coder.tables(q)
             qn = np.linalg.norm(q, axis=1)
             x = np.frombuffer(b"".join(b["v"]), dtype=np.float64).reshape(len(b), -1)
             norms = np.linalg.norm(x, axis=1)
             packed = np.frombuffer(b"".join(b["code"]), dtype=np.uint8).reshape(len(b), width)
             ids = b["ids"].to_numpy()
             for r, qid in enumerate(a["id"].to_numpy()):
+                if r % AT_ONCE == 0:
+                    tables = coder.tables(q[r : r + AT_ONCE])
                 slack = error * qn[r] * norms
-                top = scan(tables[r], packed) + slack
+                top = scan(tables[r % AT_ONCE], packed) + slack
                 first = np.argpartition(-top, min(4 * k, len(top) - 1))[: 4 * k]
                 sure = np.sort(x[first] @ q[r])[::-1]
                 floor = sure[k] if len(sure) > k else -np.inf  # one more than k: the query itself may be among them

@@ -59,3 +59,20 @@ def test_stages_against_brute_force(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and simhash_groups(spark.read.parquet(f"{SF}/documents.parquet")).count() == 200
+
+
+def test_stages_take_odd_rows(spark, make_docs):
+    """Nulls, empty, blank, repeated and long texts, clashing columns, empty tables: no stage stops, all keep the columns."""
+    from .conftest import ODD
+
+    for docs in (make_docs(ODD), make_docs(ODD).limit(0)):
+        for name, function in corpus_pipeline.STAGES[:-1]:
+            after = stage(function(spark, docs, SF), f"odd{name}")
+            assert after.columns == docs.columns
+            ids = {r["doc_id"] for r in after.select("doc_id").collect()}
+            assert ids <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+            if name == "near_duplicates":
+                assert after.count() == after.dropDuplicates(["doc_id"]).count()
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        words = sum(len((r["text"] or "").split()) for r in docs.select("text").collect())
+        assert sum(r["length"] for r in packed.select("length").collect()) == words

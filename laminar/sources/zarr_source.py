@@ -93,26 +93,6 @@ class ZarrReader(ds.DataSourceReader):
     def _narrow(self, c: int, low: float, high: float) -> None:
         self.box[c] = [max(self.box[c][0], low), min(self.box[c][1], high)]
 
-    def pushFilters(self, filters: list[ds.Filter]):
-        for f in filters:
-            axis = AXES.index(f.attribute[0]) if getattr(f, "attribute", None) and len(f.attribute) == 1 and f.attribute[0] in AXES else None
-            value = getattr(f, "value", None)
-            if isinstance(f, ds.IsNotNull) and axis is not None:
-                continue  # coordinates never are
-            whole = axis is not None and isinstance(value, int) and not isinstance(value, bool)
-            if whole and isinstance(f, ds.EqualTo):
-                self._narrow(axis, value, value + 1)
-            elif whole and isinstance(f, ds.GreaterThanOrEqual):
-                self._narrow(axis, value, self.box[axis][1])
-            elif whole and isinstance(f, ds.GreaterThan):
-                self._narrow(axis, value + 1, self.box[axis][1])
-            elif whole and isinstance(f, ds.LessThanOrEqual):
-                self._narrow(axis, self.box[axis][0], value + 1)
-            elif whole and isinstance(f, ds.LessThan):
-                self._narrow(axis, self.box[axis][0], value)
-            else:
-                yield f
-
     def partitions(self) -> list[Chunks]:
         """Runs of chunks of about ``partitionBytes`` decoded bytes, one chunk at least; a box outside the array has none."""
         size = int(np.prod(self.layout.chunks)) * np.dtype(self.layout.dtype).itemsize
@@ -136,6 +116,30 @@ class ZarrReader(ds.DataSourceReader):
                 yield pa.RecordBatch.from_arrays([*[pa.array(c[k : k + 65_536], type=pa.int64()) for c in columns], pa.array(v[k : k + 65_536])], names=names)
 
 
+class PushingZarrReader(ZarrReader):
+    """For sessions that push filters down to Python data sources; in others Spark refuses a reader that takes them."""
+
+    def pushFilters(self, filters: list[ds.Filter]):
+        for f in filters:
+            axis = AXES.index(f.attribute[0]) if getattr(f, "attribute", None) and len(f.attribute) == 1 and f.attribute[0] in AXES else None
+            value = getattr(f, "value", None)
+            if isinstance(f, ds.IsNotNull) and axis is not None:
+                continue  # coordinates never are
+            whole = axis is not None and isinstance(value, int) and not isinstance(value, bool)
+            if whole and isinstance(f, ds.EqualTo):
+                self._narrow(axis, value, value + 1)
+            elif whole and isinstance(f, ds.GreaterThanOrEqual):
+                self._narrow(axis, value, self.box[axis][1])
+            elif whole and isinstance(f, ds.GreaterThan):
+                self._narrow(axis, value + 1, self.box[axis][1])
+            elif whole and isinstance(f, ds.LessThanOrEqual):
+                self._narrow(axis, self.box[axis][0], value + 1)
+            elif whole and isinstance(f, ds.LessThan):
+                self._narrow(axis, self.box[axis][0], value)
+            else:
+                yield f
+
+
 @dataclass
 class Written(ds.WriterCommitMessage):
     names: list[str]
@@ -193,7 +197,7 @@ class ZarrWriter(ds.DataSourceArrowWriter):
 
 
 class ZarrSource(ds.DataSource):
-    """``format("laminar_zarr")``: options path, attempts, wait; read: partitionBytes, zMin, zMax and so on (upper bounds exclusive);
+    """``format("laminar_zarr")``: options path, attempts, wait; read: pushdown (where the session allows it), partitionBytes, zMin, zMax and so on (upper bounds exclusive);
     write: shape, chunks (three numbers), dtype, codec (zlib, gzip, none)."""
 
     @classmethod
@@ -204,7 +208,7 @@ class ZarrSource(ds.DataSource):
         return ROW
 
     def reader(self, schema) -> ZarrReader:
-        return ZarrReader(self.options)
+        return (PushingZarrReader if self.options.get("pushdown", "false") == "true" else ZarrReader)(self.options)
 
     def writer(self, schema, overwrite: bool) -> ZarrWriter:
         return ZarrWriter(self.options, overwrite)
@@ -214,7 +218,8 @@ def read_zarr(spark: SparkSession, path: str, low: tuple | None = None, high: tu
     """``z, y, x, v``: voxels other than the fill value, within a box if one is given (``high`` exclusive). Filters on z, y and x are
     pushed down where ``spark.sql.python.filterPushdown.enabled`` is set."""
     ship(spark).dataSource.register(ZarrSource)
-    reader = spark.read.format("laminar_zarr").options(path=path, **options)
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    reader = spark.read.format("laminar_zarr").options(path=path, pushdown=pushdown, **options)
     for name, bounds in (("Min", low), ("Max", high)):
         for axis, value in zip(AXES, bounds or (), strict=False):
             reader = reader.option(f"{axis}{name}", str(value))

@@ -150,7 +150,7 @@ def budgeted_slab_counts(spark, sf_dir):
     """Slab counts by a stream of files: a first run without time to spare stops after a file, a second one goes on to the end."""
     li = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 1500).cast("long").alias("slab"))
     root = _new(spark, "budget")
-    li.repartition(4, "slab").write.parquet(f"{root}/in")
+    li.repartition(4).write.parquet(f"{root}/in")
     figures = lambda batch: batch.groupBy("slab").agg(F.count("*").alias("n"))
     done = []
     for seconds in (0.0, 3600.0):

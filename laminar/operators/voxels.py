@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from laminar.functions.columns import packed
 from laminar.graph import connected_components
+from laminar.storage import stage
 
 ZYX = ["z", "y", "x"]
 VOXEL_BITS = 40
@@ -26,18 +27,23 @@ def voxel_key(z, y, x, ny: int, nx: int):
 def voxel_components(mask: DataFrame, ny: int, nx: int) -> DataFrame:
     """``slab, z, y, x, component``: face-connected components of a mask, one grid per slab.
 
-    Neighbours along an axis are consecutive voxels of a line, found with ``lead`` rather than a join.
+    Neighbours along an axis are consecutive voxels of a line, found with ``lead`` rather than a join. The voxels of a run along x are
+    one node, named by its first voxel, so that the rounds see runs and the contacts between them once, not voxels.
     """
     base = mask.select("slab", *ZYX).distinct()
     base = base.withColumn("n", packed([(F.col("slab"), 63 - VOXEL_BITS), (voxel_key(F.col("z"), F.col("y"), F.col("x"), ny, nx), VOXEL_BITS)]))
+    row = Window.partitionBy("slab", "z", "y").orderBy("x")
+    starts = F.when(F.coalesce(F.lag("x").over(row) == F.col("x") - 1, F.lit(False)), None).otherwise(F.col("n"))
+    runs = base.withColumn("start", starts).withColumn("run", F.last("start", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("start", "n")
+    runs = stage(runs, "runs")
     edges = None
-    for axis in ZYX:
+    for axis in ("z", "y"):
         others = [c for c in ZYX if c != axis]
         along = Window.partitionBy("slab", *others).orderBy(axis)
-        step = base.withColumn("to", F.when(F.lead(axis).over(along) == F.col(axis) + 1, F.lead("n").over(along))).where("to IS NOT NULL").select(F.col("n").alias("src"), F.col("to").alias("dst"))
+        step = runs.withColumn("to", F.when(F.lead(axis).over(along) == F.col(axis) + 1, F.lead("run").over(along))).where("to IS NOT NULL").select(F.col("run").alias("src"), F.col("to").alias("dst"))
         edges = step if edges is None else edges.union(step)
     found = connected_components(edges)
-    return base.join(found.withColumnRenamed("node", "n"), "n", "left").select("slab", *ZYX, F.coalesce("component", "n").alias("component"))
+    return runs.join(found.withColumnRenamed("node", "run"), "run", "left").select("slab", *ZYX, F.coalesce("component", "run").alias("component"))
 
 
 def size_filter(labelled: DataFrame, label: list[str], least: int) -> DataFrame:

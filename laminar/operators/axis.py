@@ -86,3 +86,26 @@ def interpolated(found: DataFrame, t: str) -> DataFrame:
     span = F.col("after_t") - F.col("before_t")
     between = F.col("before") + (F.col("after") - F.col("before")) * (F.col(t) - F.col("before_t")) / span
     return found.withColumn("value", F.when(F.col("before_t").isNull(), F.col("after")).when(F.col("after_t").isNull() | (span == 0), F.col("before")).otherwise(between))
+
+
+def on_axis(points: DataFrame, axis: DataFrame) -> DataFrame:
+    """``points`` with ``cy, cx``: the axis (``z, cy, cx``) interpolated at their own z, clamped at both ends.
+
+    Points meet the axis by planes of unit height: for each plane that holds points, the control points in it with the last one below
+    and the first one above. Only these planes are put in order, the points are one side of an equi-join.
+    """
+    control = axis.select(F.col("z").cast("double").alias("z"), F.col("cy").cast("double").alias("cy"), F.col("cx").cast("double").alias("cx"))
+    held = control.groupBy(F.floor("z").alias("__k")).agg(F.array_sort(F.collect_list(F.struct("z", "cy", "cx"))).alias("c"))
+    placed = points.withColumn("__k", F.floor(F.col("z").cast("double")))
+    planes = placed.select("__k").distinct().join(held, "__k", "full")
+    along = Window.orderBy("__k")  # a row a plane
+    below = F.last(F.try_element_at("c", F.lit(-1)), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    above = F.first(F.try_element_at("c", F.lit(1)), ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+    near = F.array_compact(F.concat(F.array(below), F.coalesce("c", F.array().cast("array<struct<z:double,cy:double,cx:double>>")), F.array(above)))
+    found = placed.join(planes.select("__k", near.alias("__c")), "__k")
+    t = F.col("z").cast("double")
+    found = found.withColumns({"__p": F.try_element_at(F.filter("__c", lambda c: c["z"] <= t), F.lit(-1)), "__q": F.get(F.filter("__c", lambda c: c["z"] >= t), F.lit(0))})
+    for c in ("cy", "cx"):
+        ends = {"before_t": F.col("__p.z"), "before": F.col(f"__p.{c}"), "after_t": F.col("__q.z"), "after": F.col(f"__q.{c}")}
+        found = interpolated(found.withColumns(ends), "z").withColumn(c, F.col("value"))
+    return found.select(*points.columns, "cy", "cx")

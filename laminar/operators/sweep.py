@@ -43,19 +43,16 @@ def winding_radii(vertices: DataFrame, axis: DataFrame, planes: DataFrame, band:
     """``z0, w, z, r, n``-like rows for ``winding_gaps`` (``z, w, r``): mesh vertices ``w, z, y, x`` with positive coordinates within
     ``band`` of a plane ``z0``, with their distance from the axis (``z, cy, cx``) interpolated at their own z; windings with fewer than
     ``least`` vertices in a plane's band are left out."""
-    from laminar.operators.axis import asof, interpolated
+    from laminar.operators.axis import on_axis
 
-    at = vertices.where("z > 0 AND y > 0 AND x > 0").withColumn("one", F.lit(1))
-    for c in ("cy", "cx"):
-        at = interpolated(asof(at, axis.select(F.lit(1).alias("one"), F.col("z").cast("double").alias("z"), c), ["one"], "z", c), "z").withColumn(c, F.col("value"))
-        at = at.drop("before_t", "before", "after_t", "after", "value")
+    at = on_axis(vertices.where("z > 0 AND y > 0 AND x > 0"), axis)
     at = at.withColumn("r", F.hypot(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")))
     # planes are few and a band apart from each other or nearer: each vertex is keyed to the bands of width ``band`` around it
     key = F.floor(F.col("z") / band).cast("long")
     near = at.withColumn("k", F.explode(F.array(key - 1, key, key + 1)))
     both = near.join(planes.select("z0", F.floor(F.col("z0") / band).cast("long").alias("k")), "k").where(F.abs(F.col("z") - F.col("z0")) < band)
-    n = F.count("*").over(Window.partitionBy("z0", "w"))
-    return both.withColumn("n", n).where(F.col("n") >= least).select(F.col("z0").alias("z"), "w", "r")
+    full = both.groupBy("z0", "w").count().where(F.col("count") >= least).select("z0", "w")
+    return both.join(full, ["z0", "w"], "left_semi").select(F.col("z0").alias("z"), "w", "r")
 
 
 def seed_row(seeds: DataFrame, label: str, high: float = 97.0) -> DataFrame:

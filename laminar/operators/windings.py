@@ -279,19 +279,37 @@ def largest_cluster(values: DataFrame, by: list[str], value: str, gap: float) ->
     return sized.groupBy(*by).agg(best.alias("b")).select(*by, F.col("b.n").alias("n"), F.col("b.middle").alias("middle"))
 
 
-def knn_pairs(points: DataFrame, reach: float, k: int) -> DataFrame:
-    """``src, dst, d``: for each point its ``k`` nearest within ``reach``, over a grid of cells of that size.
+def knn_pairs(points: DataFrame, reach: float, k: int, finest: int = 8) -> DataFrame:
+    """``src, dst, d``: for each point its ``k`` nearest within ``reach`` (ties to the smaller id), over grids of cells of ``reach``
+    and of its halves, quarters and so on (``finest`` times).
 
-    Every point is listed once and sought in the neighbouring cells, so the range join is an equi-join.
+    A point looks in the finest grid in which its own cell holds ``k`` others: the k-th nearest of these bounds its distance, and only
+    the cells within that bound are looked up, by an equi-join. So the comparisons of a point do not grow with the number of points in
+    ``reach``. Of points at one place only the ``k + 1`` smallest ids can be among the nearest of any.
     """
-    cell = [F.floor(F.col(c) / reach).cast("long").alias(f"c{c}") for c in ("z", "y", "x")]
-    held = points.select("id", "z", "y", "x", *cell)
-    asks = held
-    for c in ("z", "y", "x"):
-        asks = asks.withColumn(f"c{c}", F.explode(F.array(F.col(f"c{c}") - 1, F.col(f"c{c}"), F.col(f"c{c}") + 1)))
-    a = asks.select(F.col("id").alias("src"), F.col("z").alias("z1"), F.col("y").alias("y1"), F.col("x").alias("x1"), "cz", "cy", "cx")
-    b = held.select(F.col("id").alias("dst"), F.col("z").alias("z2"), F.col("y").alias("y2"), F.col("x").alias("x2"), "cz", "cy", "cx")
-    d = F.sqrt(F.pow(F.col("z1") - F.col("z2"), 2) + F.pow(F.col("y1") - F.col("y2"), 2) + F.pow(F.col("x1") - F.col("x2"), 2))
-    near = a.join(b, ["cz", "cy", "cx"]).withColumn("d", d).where((F.col("d") < reach) & (F.col("src") != F.col("dst")))
+    zyx, size = ["z", "y", "x"], F.lit(float(reach)) / F.pow(F.lit(2.0), F.col("level"))
+    cell = [F.floor(F.col(c) / size).cast("long").alias(f"c{c}") for c in zyx]
+    held = points.select("id", *zyx).where("z IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL")
+    same = F.row_number().over(Window.partitionBy(*zyx).orderBy("id"))
+    held = stage(held.withColumn("r", same), "knnpoints")
+    leveled = held.where(F.col("r") <= k + 1).select("id", *zyx, F.explode(F.sequence(F.lit(0), F.lit(finest))).alias("level")).select("id", *zyx, "level", *cell)
+    at = ["level", "cz", "cy", "cx"]
+    full = leveled.groupBy(*at).count().where(F.col("count") > k).select(*at)
+    own = held.select("id", *zyx, F.explode(F.sequence(F.lit(0), F.lit(finest))).alias("level")).select("id", "level", *cell).join(full, at, "left_semi")
+    level = own.groupBy("id").agg(F.max("level").alias("level"))
+    asks = stage(held.join(level, "id", "left").select(F.col("id").alias("src"), *[F.col(c).alias(f"{c}1") for c in zyx], F.coalesce("level", F.lit(0)).alias("level"), F.col("level").isNotNull().alias("known")), "knnasks")
+    there = leveled.select(F.col("id").alias("dst"), *[F.col(c).alias(f"{c}2") for c in zyx], *at)
+    d = F.sqrt(sum(F.pow(F.col(f"{c}1") - F.col(f"{c}2"), 2) for c in zyx))
     rank = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
-    return near.withColumn("r", rank).where(F.col("r") <= k).select("src", "dst", "d")
+
+    def meet(asking: DataFrame) -> DataFrame:
+        return asking.join(there, at).where("src != dst").withColumn("d", d)
+
+    first = meet(asks.where("known").select("*", *[F.floor(F.col(f"{c}1") / size).cast("long").alias(f"c{c}") for c in zyx])).select("src", "dst", "d")
+    bound = first.withColumn("r", rank).where(F.col("r") == k).select("src", F.col("d").alias("most"))
+    near = asks.join(bound, "src", "left").withColumn("most", F.least(F.coalesce("most", F.lit(float(reach))), F.lit(float(reach))))
+    wide = F.col("most") * (1 + 1e-9) + 1e-12
+    for c in zyx:
+        near = near.withColumn(f"c{c}", F.explode(F.sequence(F.floor((F.col(f"{c}1") - wide) / size).cast("long"), F.floor((F.col(f"{c}1") + wide) / size).cast("long"))))
+    found = meet(near).where((F.col("d") <= F.col("most")) & (F.col("d") < reach)).select("src", "dst", "d")
+    return found.withColumn("r", rank).where(F.col("r") <= k).select("src", "dst", "d")

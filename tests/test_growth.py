@@ -42,3 +42,21 @@ def test_axis_lookup_is_no_window_over_all_vertices(spark):
     a = np.array(axis)
     want = np.hypot(100 - np.interp(z, a[:, 0], a[:, 1]), 50 - np.interp(z, a[:, 0], a[:, 2]))
     assert sorted(r["r"] for r in made.collect()) == pytest.approx(sorted(want))
+
+
+def test_nearest_pairs_of_dense_points(spark, monkeypatch):
+    seen = {}
+
+    def kept(df, name):
+        seen[name] = staged(df, name)
+        return seen[name]
+
+    staged = windings.stage
+    monkeypatch.setattr(windings, "stage", kept)
+    rng = np.random.default_rng(5)
+    p = np.concatenate([np.repeat([[0.5, 0.5, 0.5]], 60, axis=0), rng.normal(0, 0.02, (900, 3)), rng.uniform(-2, 2, (200, 3))])
+    pairs = windings.knn_pairs(spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "id long, z double, y double, x double"), 0.8, 9)
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    want = {(i, int(j)) for i in range(len(p)) for j in sorted((j for j in np.flatnonzero(d[i] < 0.8) if j != i), key=lambda j: (d[i, j], j))[:9]}
+    assert {(r["src"], r["dst"]) for r in pairs.collect()} == want
+    assert seen["knnasks"].where("level >= 2").count() >= 900  # dense points look in cells of a quarter of the reach or less

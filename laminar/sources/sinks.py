@@ -17,9 +17,11 @@ def write_labels(labels: DataFrame, path: str, by: str = "slab_z0") -> None:
 def write_label_blocks(labels: DataFrame, path: str, shape: tuple[int, int, int]) -> int:
     """Blocks ``z<Z>/tile_y<Y>_x<X>.npz`` of ``shape`` from ``slab_z0, tile_y0, tile_x0, zl, yl, xl, local_id``, and their number.
 
-    A tile is one task's group, bounded by its shape; a block gets its name only when it is whole, so repeated tasks do no harm.
+    A task goes through its tiles in order and holds one at a time, bounded by its shape; a block gets its name only when it is
+    whole, so repeated tasks do no harm.
     """
     import io
+    from collections.abc import Iterator
 
     import numpy as np
     import pandas as pd
@@ -28,19 +30,32 @@ def write_label_blocks(labels: DataFrame, path: str, shape: tuple[int, int, int]
 
     folder = Folder(path)
 
-    def save(tile: pd.DataFrame) -> pd.DataFrame:
+    def save(tile: np.ndarray) -> None:
         block = np.zeros(shape, dtype=np.int32)
-        block[tile["zl"], tile["yl"], tile["xl"]] = tile["local_id"]
-        at = [int(tile[c].iloc[0]) for c in ("slab_z0", "tile_y0", "tile_x0")]
+        block[tile[:, 3], tile[:, 4], tile[:, 5]] = tile[:, 6]
+        at = tile[0, :3].tolist()
         data = io.BytesIO()
         np.savez_compressed(data, labels=block, z0=at[0], y0=at[1], x0=at[2])
-        name = f"z{at[0]}/tile_y{at[1]}_x{at[2]}.npz"
         new = pending()
         folder.write(new, data.getvalue())
-        folder.move(new, name)
-        return pd.DataFrame({"name": [name]})
-
-    n = labels.groupBy("slab_z0", "tile_y0", "tile_x0").applyInPandas(save, "name string").count()
+        folder.move(new, f"z{at[0]}/tile_y{at[1]}_x{at[2]}.npz")
+
+    def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = np.empty((0, 7), dtype=np.int64)
+        for batch in batches:
+            rows = np.concatenate([rest, batch.to_numpy(dtype=np.int64)])
+            starts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+            *whole, rest = np.split(rows, starts)  # the last tile may go on in the next batch
+            for tile in whole:
+                save(tile)
+            yield pd.DataFrame({"n": [len(whole)]})
+        if len(rest):
+            save(rest)
+            yield pd.DataFrame({"n": [1]})
+
+    key = ["slab_z0", "tile_y0", "tile_x0"]
+    rows = labels.select(*key, "zl", "yl", "xl", "local_id").repartition(*key).sortWithinPartitions(*key)
+    n = rows.mapInPandas(tiles, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     folder.remove("_pending")
     return n
 

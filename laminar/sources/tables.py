@@ -12,7 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from laminar.session import ship
+
 LABEL_VOXEL = "slab_z0 long, tile_y0 long, tile_x0 long, zl long, yl long, xl long, local_id long"
+FRAME = 65_536  # voxels handed on together
 CHUNK = "z0 long, y0 long, x0 long, nz long, ny long, nx long, data binary"
 
 
@@ -45,20 +48,35 @@ def file_times(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.col("file_name").alias("name"), F.col("file_size").alias("bytes"), F.col("file_modification_time").alias("modified"), F.concat(text, F.lit(" UTC")).alias("modified_utc"))
 
 
+def _block_voxels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Labelled voxels of blocks (``slab_z0, tile_y0, tile_x0, content``), those of many small blocks in one frame."""
+
+    def frame(parts: list) -> pd.DataFrame:
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("slab_z0", "tile_y0", "tile_x0", "zl", "yl", "xl", "local_id"), zip(*parts, strict=True), strict=True)})
+
+    parts, n = [], 0
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            labels = np.load(io.BytesIO(row.content))["labels"]
+            step = max(1, FRAME // max(1, labels[:1].size))
+            for z0 in range(0, len(labels), step):  # some planes at a time bound the memory
+                z, y, x = np.nonzero(labels[z0 : z0 + step])
+                z = z + z0
+                parts.append([*(np.full(len(z), v, dtype=np.int64) for v in (row.slab_z0, row.tile_y0, row.tile_x0)), z, y, x, labels[z, y, x].astype(np.int64)])
+                n += len(z)
+                if n >= FRAME:
+                    yield frame(parts)
+                    parts, n = [], 0
+    if n:
+        yield frame(parts)
+
+
 def read_label_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Sparse label voxels from ``.../z<Z>/tile_y<Y>_x<X>.npz`` blocks; one block is one row of the file source."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(path)
+    files = ship(spark).read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(path)
     name = [F.regexp_extract("path", p, 1).cast("long").alias(c) for c, p in (("slab_z0", r"/z(\d+)/"), ("tile_y0", r"tile_y(\d+)_x"), ("tile_x0", r"_x(\d+)\.npz$"))]
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                labels = np.load(io.BytesIO(row.content))["labels"]
-                for z, plane in enumerate(labels):  # a plane at a time bounds the memory
-                    y, x = np.nonzero(plane)
-                    yield pd.DataFrame({"slab_z0": row.slab_z0, "tile_y0": row.tile_y0, "tile_x0": row.tile_x0, "zl": z, "yl": y, "xl": x, "local_id": plane[y, x].astype(np.int64)})
-
-    return files.select(*name, "content").mapInPandas(explode, LABEL_VOXEL)
+    return files.select(*name, "content").mapInPandas(_block_voxels, LABEL_VOXEL)
 
 
 def read_chunks(spark: SparkSession, path: str, meta: dict) -> DataFrame:

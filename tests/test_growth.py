@@ -7,6 +7,8 @@ import pytest
 
 from laminar.operators import sweep, voxels, windings
 from laminar.plans.registry import QUERIES
+from laminar.session import ship
+from laminar.sources import sinks, tables
 
 from .conftest import SF
 
@@ -60,3 +62,19 @@ def test_nearest_pairs_of_dense_points(spark, monkeypatch):
     want = {(i, int(j)) for i in range(len(p)) for j in sorted((j for j in np.flatnonzero(d[i] < 0.8) if j != i), key=lambda j: (d[i, j], j))[:9]}
     assert {(r["src"], r["dst"]) for r in pairs.collect()} == want
     assert seen["knnasks"].where("level >= 2").count() >= 900  # dense points look in cells of a quarter of the reach or less
+
+
+def test_small_label_blocks_share_frames(spark, tmp_path, monkeypatch):
+    rows = {(12 * s, 18 * t, 0, z, (z + t) % 5, z * s % 4, 1 + s + t) for s in range(3) for t in range(4) for z in range(6)}
+    voxels_ = ship(spark).createDataFrame(sorted(rows), tables.LABEL_VOXEL)
+    monkeypatch.setitem(tables.__dict__, "FRAME", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # tiles go on from batch to batch
+    try:
+        assert sinks.write_label_blocks(voxels_, str(tmp_path / "blocks"), (6, 5, 4)) == 12
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {tuple(r) for r in tables.read_label_blocks(spark, str(tmp_path / "blocks")).collect()} == rows
+    blocks = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path / "blocks")).selectExpr("0L slab_z0", "0L tile_y0", "0L tile_x0", "content").toPandas()
+    made = list(tables._block_voxels(iter([blocks])))
+    assert sum(map(len, made)) == 72 and len(made) == 2  # a frame for every 50 voxels or more, not one a plane
+    assert sinks.write_label_blocks(voxels_.limit(0), str(tmp_path / "none"), (6, 5, 4)) == 0

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from laminar.session import ship
 from laminar.storage import discard, stage
 
+FOREST = 500_000  # edges that a task goes through together
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Component of every node that has an edge: columns ``node``, ``component`` (its smallest node).
@@ -53,18 +61,23 @@ def offset_components(edges: DataFrame, src: str = "src", dst: str = "dst", delt
 
     ``component`` is the smallest node and ``offset`` a node's potential above it, along the tree of edges that come first in
     ``order`` (ties by src, dst, delta): the tree that takes edges in that order and passes over those whose ends it has joined.
-    Rounds of joins (Boruvka): every component picks its first edge, picks are followed to a root by doubling, edges between the
+    Each task first leaves out edges that close a circle of its own. Rounds of joins (Boruvka): every component picks its first edge, picks are followed to a root by doubling, edges between the
     same two components are kept once. Sums are carried along, so no component is ever one group. Self loops and nulls are ignored.
     """
     a, b = F.col(src), F.col(dst)
-    given = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(a.alias("u"), b.alias("v"), F.col(delta).cast("long").alias("d"), F.struct(F.col(order).alias("o"), a.alias("s"), b.alias("t"), F.col(delta).alias("d")).alias("o"))
-    now = stage(_between(given), "offsetedges")
+    given = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(a.alias("s"), b.alias("t"), F.col(delta).cast("long").alias("d"), F.col(order).alias("o"))
+    if all(isinstance(given.schema[c].dataType, IntegralType) for c in "sto"):
+        ship(edges.sparkSession)
+        longs = given.select(*[F.col(c).cast("long").alias(c) for c in "stdo"])
+        given = longs.mapInPandas(_first_trees, "s long, t long, d long, o long").select(*[F.col(c).cast(given.schema[c].dataType).alias(c) for c in "stdo"])
+    first = given.groupBy(F.least("s", "t").alias("u"), F.greatest("s", "t").alias("v")).agg(F.min(F.struct("o", "s", "t", "d")).alias("f"))
+    now = stage(first.select("u", "v", F.when(F.col("f.s") == F.col("u"), F.col("f.d")).otherwise(-F.col("f.d")).alias("d"), F.struct("f.o", "f.s", "f.t").alias("o")), "offsetedges")
     at = stage(now.select(F.col("u").alias("node")).union(now.select("v")).distinct().select("node", F.col("node").alias("component"), F.lit(0).cast("long").alias("off")), "offsets")
     for _ in range(max_rounds):
         if not now.head(1):
             break
         ends = now.select(F.col("u").alias("c"), F.col("v").alias("to"), F.col("d").alias("up"), "o").union(now.select("v", "u", -F.col("d"), "o"))
-        picks = stage(ends.groupBy("c").agg(F.min_by(F.struct("to", "up"), "o").alias("p")).select("c", "p.to", "p.up"), "picks")
+        picks = stage(ends.groupBy("c").agg(F.min(F.struct("o", "to", "up")).alias("p")).select("c", "p.to", "p.up"), "picks")
         back = picks.select(F.col("c").alias("to"), F.col("to").alias("c"), F.lit(True).alias("mutual"))
         root = F.coalesce("mutual", F.lit(False)) & (F.col("c") < F.col("to"))
         tree = picks.join(back, ["c", "to"], "left").select("c", F.when(root, F.col("c")).otherwise(F.col("to")).alias("p"), F.when(root, 0).otherwise(-F.col("up")).cast("long").alias("off"))
@@ -86,7 +99,47 @@ def _between(edges: DataFrame) -> DataFrame:
     """The first edge in order between each two nodes, from the smaller one."""
     turn = F.col("u") > F.col("v")
     flat = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(turn, -F.col("d")).otherwise(F.col("d")).alias("d"), "o")
-    return flat.groupBy("u", "v").agg(F.min_by("d", "o").alias("d"), F.min("o").alias("o"))
+    return flat.groupBy("u", "v").agg(F.min(F.struct("o", "d")).alias("f")).select("u", "v", "f.d", "f.o")
+
+
+def _first_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges ``s, t, d, o`` of a task without those that close a circle of edges before them in the order of o, s, t, d: no tree that
+    is built in this order takes them, whatever the edges of other tasks. Edges with a null are handed on."""
+
+    def trees(e: np.ndarray) -> np.ndarray:
+        e = e[np.lexsort((e[:, 2], e[:, 1], e[:, 0], e[:, 3]))]
+        nodes, ends = np.unique(e[:, :2], return_inverse=True)
+        above = list(range(len(nodes)))
+        keep = []
+        for k, (a, b) in enumerate(ends.reshape(-1, 2).tolist()):
+            while above[a] != a:
+                above[a] = a = above[above[a]]
+            while above[b] != b:
+                above[b] = b = above[above[b]]
+            if a != b:
+                above[max(a, b)] = min(a, b)
+                keep.append(k)
+        return e[keep]
+
+    def frame(e: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame(e, columns=list("stdo"))
+
+    held, n = [], 0
+    for batch in batches:
+        odd = batch["d"].isna() | batch["o"].isna()
+        if odd.any():
+            yield batch[odd]
+            batch = batch[~odd]
+        held.append(batch[list("stdo")].to_numpy(dtype=np.int64))
+        n += len(batch)
+        if n >= FOREST:
+            kept = trees(np.concatenate(held))
+            if len(kept) > FOREST // 2:
+                yield frame(kept)
+                kept = kept[:0]
+            held, n = [kept], len(kept)
+    if n:
+        yield frame(trees(np.concatenate(held)))
 
 
 def _to_roots(tree: DataFrame, max_rounds: int) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from laminar import graph
 from laminar.operators import sweep, voxels, windings
 from laminar.plans.registry import QUERIES
 from laminar.session import ship
@@ -78,3 +80,27 @@ def test_small_label_blocks_share_frames(spark, tmp_path, monkeypatch):
     made = list(tables._block_voxels(iter([blocks])))
     assert sum(map(len, made)) == 72 and len(made) == 2  # a frame for every 50 voxels or more, not one a plane
     assert sinks.write_label_blocks(voxels_.limit(0), str(tmp_path / "none"), (6, 5, 4)) == 0
+
+
+def test_offsets_start_from_the_trees_of_each_task(spark, monkeypatch):
+    seen = {}
+
+    def kept(df, name):
+        out = staged(df, name)
+        seen.setdefault(name, out.count())
+        return out
+
+    staged = graph.stage
+    monkeypatch.setattr(graph, "stage", kept)
+    level = {n: n * 7919 % 101 for n in range(600)}
+    edges = [(a, b, level[b] - level[a] + (late and 1), late * 10**6 + a) for n in range(600) for a, b, late in ((n, n // 60 * 60 + n * 17 % 60, 0), (n, n // 60 * 60 + n * n % 60, 0), (n // 60 * 60, n, 0), (n, n // 60 * 60 + 1, 1))]
+    placed = graph.offset_components(spark.createDataFrame(edges, "src long, dst long, delta long, pos long").coalesce(1)).collect()
+    assert seen["offsetedges"] == 590  # ten trees of 60 nodes; all 1,700 pairs and more before
+    assert {(r["node"], r["component"], r["offset"]) for r in placed} == {(n, n // 60 * 60, level[n] - level[n // 60 * 60]) for n in level}
+
+
+def test_trees_of_a_task_keep_odd_edges(monkeypatch):
+    monkeypatch.setattr(graph, "FOREST", 4)
+    e = pd.DataFrame({"s": [1, 2, 3, 3, 4, 5, 1], "t": [2, 3, 1, 2, 5, 4, 4], "d": [1, 1, 1, None, 2, 2, 0], "o": [1, 2, 3, 0, 9, 8, None]}, dtype="Int64")
+    got = pd.concat(graph._first_trees(iter([e[:3], e[3:]])))
+    assert {tuple(None if pd.isna(v) else int(v) for v in r) for r in got.itertuples(index=False)} == {(1, 2, 1, 1), (2, 3, 1, 2), (3, 2, None, 0), (5, 4, 2, 8), (1, 4, 0, None)}

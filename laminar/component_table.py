@@ -65,7 +65,7 @@ class ComponentTable:
         contracted = ends.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("ca", "src").alias("src"), F.coalesce("cb", "dst").alias("dst"))
         went = connected_components(contracted)
         arrivals = fresh.join(known.select("node"), "node", "left_anti").join(went, "node", "left").select("node", F.coalesce("component", "node").alias("entry"), "part")
-        arrivals.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/nodes/batch={at}")
+        arrivals.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/nodes/batch={at}")
         before = self._moved(done)
         after = before.join(went.withColumnRenamed("node", "root").withColumnRenamed("component", "now"), "root", "left").select("component", F.coalesce("now", "root").alias("root"))
         here = went.where("node != component").select(F.col("node").alias("component"), F.col("component").alias("root"))

@@ -42,7 +42,7 @@ def tile_band_votes(labels: DataFrame, tile: int, stride: int) -> DataFrame:
     (largest label); rows without a positive label are ignored."""
     overlap = tile - stride
     y, x, ty, tx = (F.col(c) for c in ("y", "x", "ty", "tx"))
-    key = lambda side, late, ky, kx: F.struct(F.lit(side).alias("band"), F.lit(late).alias("late"), ky.cast("long").alias("ky"), kx.cast("long").alias("kx"))
+    key = lambda side, late, ky, kx: F.struct(F.lit(side == "top").alias("top"), F.lit(late).alias("late"), ky.cast("long").alias("ky"), kx.cast("long").alias("kx"))
     keys = [
         (x >= (tx + 1) * stride, key("left", False, ty, tx + 1)),
         (y >= (ty + 1) * stride, key("top", False, ty + 1, tx)),
@@ -51,8 +51,8 @@ def tile_band_votes(labels: DataFrame, tile: int, stride: int) -> DataFrame:
     ]
     held = F.explode(F.array_compact(F.array(*[F.when(fits, k) for fits, k in keys])))
     keyed = labels.where("label > 0").select("slab", held.alias("k"), "z", "y", "x", "label")
-    keyed = keyed.select("slab", F.col("k.ky").alias("ty"), F.col("k.kx").alias("tx"), "k.band", "k.late", "z", "y", "x", "label")
-    return _paired(keyed, ["slab", "ty", "tx", "band"], "label")
+    keyed = keyed.select("slab", F.col("k.ky").alias("ty"), F.col("k.kx").alias("tx"), "k.top", "k.late", "z", "y", "x", "label")
+    return _paired(keyed, ["slab", "ty", "tx", "top"], "label").select("slab", "ty", "tx", F.when(F.col("top"), "top").otherwise("left").alias("band"), "a", "b", "n")
 
 
 def slab_instances(labels: DataFrame, votes: DataFrame, least: int = 20, share: float = 0.7) -> DataFrame:
@@ -73,12 +73,17 @@ def slab_instances(labels: DataFrame, votes: DataFrame, least: int = 20, share:
 
 def slab_band_votes(labels: DataFrame, instances: DataFrame, depth: int, overlap: int) -> DataFrame:
     """``zb, ty, tx, a, b, n``: voxels in the last ``overlap`` planes of a slab and the first of the one that starts there, tile
-    by tile of the same place, by the slab ids on either side. Slabs that do not meet so share no key and give no rows."""
-    placed = labels.where("label > 0").join(instances, ["slab", "ty", "tx", "label"])
+    by tile of the same place, by the slab ids on either side. Slabs that do not meet so share no key and give no rows.
+
+    Voxels are counted by the labels on either side, and only these counts meet the ids. A tile that repeats a voxel counts it once
+    (largest label)."""
     start = F.col("slab") + depth - overlap
     sides = [F.when(F.col("z") >= start, F.struct(start.alias("zb"), F.lit(False).alias("late"))), F.when(F.col("z") < F.col("slab") + overlap, F.struct(F.col("slab").alias("zb"), F.lit(True).alias("late")))]
-    keyed = placed.select(F.explode(F.array_compact(F.array(*sides))).alias("k"), "ty", "tx", "z", "y", "x", "gid").select("k.zb", "k.late", "ty", "tx", "z", "y", "x", "gid")
-    return _paired(keyed, ["zb", "ty", "tx"], "gid")
+    keyed = labels.where("label > 0").select(F.explode(F.array_compact(F.array(*sides))).alias("k"), "ty", "tx", "z", "y", "x", "label").select("k.zb", "k.late", "ty", "tx", "z", "y", "x", "label")
+    counts = _paired(keyed, ["zb", "ty", "tx"], "label")
+    early, late = (instances.select(zb.cast("long").alias("zb"), "ty", "tx", F.col("label").alias(side), F.col("gid").alias(f"g{side}")) for side, zb in (("a", start), ("b", F.col("slab"))))
+    placed = counts.join(early, ["zb", "ty", "tx", "a"]).join(late, ["zb", "ty", "tx", "b"])
+    return placed.groupBy("zb", "ty", "tx", F.col("ga").alias("a"), F.col("gb").alias("b")).agg(F.sum("n").alias("n"))
 
 
 def slab_links(votes: DataFrame, step: int, least: int = 20, share: float = 0.7) -> DataFrame:

@@ -14,6 +14,7 @@ from laminar.storage import shared_dir, stage
 
 TILE, STRIDE, TILES, DEPTH, OVERLAP, LEAST = 24, 18, 4, 16, 4, 8
 STEP = DEPTH - OVERLAP
+PARTS = 32  # folders of the component table, whatever the number of slabs
 
 
 def labels(spark, sf_dir):
@@ -23,7 +24,8 @@ def labels(spark, sf_dir):
     z, y = F.floor(F.col("l_orderkey") / 125).cast("long"), (F.col("l_partkey") % 65).cast("long")
     x = ((F.col("l_suppkey") * 13 + F.col("l_linenumber") * 29 + F.col("l_orderkey")) % 65).cast("long")
     r = F.sqrt((F.col("y") - 32) * (F.col("y") - 32) + (F.col("x") - 32) * (F.col("x") - 32))
-    vox = li.select(z.alias("z"), y.alias("y"), x.alias("x")).distinct().withColumn("rad", r).where(F.col("rad") - 5 * F.floor(F.col("rad") / 5) < 3)
+    # dealt by planes once: the counts of bands by voxel need no further shuffle
+    vox = li.select(z.alias("z"), y.alias("y"), x.alias("x")).repartition("z").distinct().withColumn("rad", r).where(F.col("rad") - 5 * F.floor(F.col("rad") / 5) < 3)
     k = F.floor(F.col("z") / STEP).cast("long")
     slabs = F.array_compact(F.array(k * STEP, F.when((F.col("z") % STEP < OVERLAP) & (k > 0), (k - 1) * STEP)))
     vox = vox.withColumn("slab", F.explode(slabs))
@@ -80,7 +82,7 @@ def tile_band_votes(spark, sf_dir):
 
 
 def _instances(spark, sf_dir):
-    lab = stage(labels(spark, sf_dir), "tiles")
+    lab = labels(spark, sf_dir)  # made anew for each count, which costs one shuffle of three numbers a line
     return lab, stage(assembly.slab_instances(lab, stage(assembly.tile_band_votes(lab, TILE, STRIDE), "tilevotes"), LEAST), "instances")
 
 
@@ -120,7 +122,8 @@ def whole_instances(spark, sf_dir):
     """Ids of the whole volume by a stored component table that takes the first half of the slabs, then the rest as a delta."""
     inst, _, links = _whole(spark, sf_dir)
     middle = inst.agg(F.max("slab")).first()[0] // 2
-    comps = ComponentTable(spark, f"{shared_dir(spark)}/laminar-components-{uuid.uuid4().hex}", slab_part(assembly.GID_BITS))
+    wide = middle * 2 // PARTS + 1
+    comps = ComponentTable(spark, f"{shared_dir(spark)}/laminar-components-{uuid.uuid4().hex}", lambda node: F.floor(slab_part(assembly.GID_BITS)(node) / wide))
     for early in (True, False):
         some = inst.where((F.col("slab") <= middle) == early)
         comps.add(assembly.slab_nodes(some), links.where((F.col("zb") <= middle) == early))

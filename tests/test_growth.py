@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from laminar import graph
-from laminar.operators import sweep, voxels, windings
+from laminar.component_table import ComponentTable
+from laminar.operators import assembly, sweep, voxels, windings
+from laminar.plans import assembly as plans
 from laminar.plans.registry import QUERIES
 from laminar.session import ship
 from laminar.sources import sinks, tables
@@ -104,3 +109,31 @@ def test_trees_of_a_task_keep_odd_edges(monkeypatch):
     e = pd.DataFrame({"s": [1, 2, 3, 3, 4, 5, 1], "t": [2, 3, 1, 2, 5, 4, 4], "d": [1, 1, 1, None, 2, 2, 0], "o": [1, 2, 3, 0, 9, 8, None]}, dtype="Int64")
     got = pd.concat(graph._first_trees(iter([e[:3], e[3:]])))
     assert {tuple(None if pd.isna(v) else int(v) for v in r) for r in got.itertuples(index=False)} == {(1, 2, 1, 1), (2, 3, 1, 2), (3, 2, None, 0), (5, 4, 2, 8), (1, 4, 0, None)}
+
+
+def test_voxels_of_slab_bands_are_shuffled_once(spark):
+    labels = plans.labels(spark, SF)
+    ids = spark.createDataFrame([(12, 0, 0, 1, 1)], "slab long, ty long, tx long, label long, gid long")
+    plan = assembly.slab_band_votes(labels, ids, plans.DEPTH, plans.OVERLAP)._jdf.queryExecution().executedPlan().toString()
+    moved = [keys for keys in re.findall(r"hashpartitioning\(([^)]*)\)", plan)]
+    assert sum("z#" in keys for keys in moved) == 1  # labels met their ids by tile and label first, then each other by voxel, before
+    assert not any("label#" in keys for keys in moved if "z#" in keys) and all("x#" not in keys.replace("tx#", "") for keys in moved)
+
+
+def test_components_are_stored_in_one_file_a_part(spark, tmp_path):
+    table = ComponentTable(spark, str(tmp_path / "c"), lambda node: F.floor(node / 100))
+    table.add(spark.range(0, 500, 1, 8).withColumnRenamed("id", "node"), spark.createDataFrame([(1, 450), (2, 3)], "src long, dst long"))
+    assert sorted(p.parent.name for p in (tmp_path / "c" / "nodes").rglob("*.parquet")) == [f"part={k}" for k in range(5)]
+
+
+def test_slabs_share_the_parts_of_the_component_table(spark, monkeypatch):
+    class Seen(ComponentTable):
+        def __init__(self, spark_, path, part):
+            super().__init__(spark_, path, part)
+            made.append(self)
+
+    made = []
+    monkeypatch.setattr(plans, "ComponentTable", Seen)
+    monkeypatch.setattr(plans, "PARTS", 2)
+    QUERIES["whole_instances"](spark, SF)
+    assert made[0]._nodes(2).select("part").distinct().count() <= 3  # ten slabs, a part each before

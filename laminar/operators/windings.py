@@ -172,6 +172,11 @@ def _cells(apart: float) -> list:
     return [F.floor(F.col(c) / apart).cast("long").alias(f"c{c}") for c in "zyx"]
 
 
+def _marked(points: DataFrame, apart: float) -> DataFrame:
+    """``gid, z, y, x, chunk`` with their order and cells, which follow from the point: staged tables and shuffles go without them."""
+    return points.select(*_AT, "chunk", F.struct(F.xxhash64(*_AT).alias("h"), "z", "y", "x").alias("o"), *_cells(apart))
+
+
 def _around(points: DataFrame) -> DataFrame:
     """Points repeated for their own and the 26 neighbouring cells."""
     for c in ("cz", "cy", "cx"):
@@ -208,7 +213,7 @@ def _one_a_chunk(points: DataFrame, apart: float) -> DataFrame:
         chosen = stage(heads.join(waiting, _AT, "left_anti").select(*_AT, "chunk"), "chunkpicks")
         found = chosen if found is None else found.unionByName(chosen)
         left = open_.join(chosen.select("gid", "chunk"), ["gid", "chunk"], "left_anti")
-        open_ = stage(_far_from(left, chosen, apart), "chunkopen")
+        open_ = _marked(stage(_far_from(left, chosen, apart).select(*_AT, "chunk"), "chunkopen"), apart)
     return found
 
 
@@ -236,17 +241,17 @@ def spaced_points(points: DataFrame, k: int = 20, apart: float = 5.0, batch: int
     grid cells of size ``apart`` make it; the second part takes ``batch * k`` open points an instance at a time, which bounds
     their pairs. Repeated points count once, null coordinates are left out.
     """
-    order = F.struct(F.xxhash64(*_AT).alias("h"), "z", "y", "x")
     distinct = stage(points.select(*[F.col(c).cast("long").alias(c) for c in _AT]).dropna().distinct(), "spots")
-    spots = stage(z_chunks(distinct, k).select(*_AT, "chunk", order.alias("o"), *_cells(apart)), "chunks")
+    spots = _marked(stage(z_chunks(distinct, k), "chunks"), apart)
     found = _one_a_chunk(spots, apart)
     if found is None:
         return distinct
     found = stage(found.select(*_AT), "spaced")
-    left = stage(_far_from(spots, found, apart), "spacedleft")
+    lacking = lambda: found.groupBy("gid").agg((F.lit(k) - F.count("*")).alias("need")).where("need > 0")
+    left = stage(_far_from(spots.join(lacking().select("gid"), "gid", "left_semi"), found, apart).select(*_AT, "chunk"), "spacedleft")
     while left.head(1):
-        need = found.groupBy("gid").agg((F.lit(k) - F.count("*")).alias("need")).where("need > 0")
-        left = left.join(need.select("gid"), "gid", "left_semi")
+        need = lacking()
+        left = _marked(left, apart).join(need.select("gid"), "gid", "left_semi")
         first = F.row_number().over(Window.partitionBy("gid").orderBy("o"))
         some = stage(left.withColumn("r", first).where(F.col("r") <= batch * k).drop("r"), "spacedsome")
         if not some.head(1):
@@ -254,7 +259,7 @@ def spaced_points(points: DataFrame, k: int = 20, apart: float = 5.0, batch: int
         kept = _independent(some, apart).join(some.select(*_AT, "o"), _AT).join(need, "gid")
         kept = stage(kept.withColumn("r", first).where(F.col("r") <= F.lit(k)).where("r <= need").select(*_AT), "spacedkept")
         upto = some.groupBy("gid").agg(F.max("o").alias("upto"))
-        left = stage(_far_from(left.join(upto, "gid").where("o > upto").drop("upto"), kept, apart), "spacedleft")
+        left = stage(_far_from(left.join(upto, "gid").where("o > upto").drop("upto"), kept, apart).select(*_AT, "chunk"), "spacedleft")
         found = stage(found.unionByName(kept), "spaced")
     return found
 

@@ -137,3 +137,18 @@ def test_slabs_share_the_parts_of_the_component_table(spark, monkeypatch):
     monkeypatch.setattr(plans, "PARTS", 2)
     QUERIES["whole_instances"](spark, SF)
     assert made[0]._nodes(2).select("part").distinct().count() <= 3  # ten slabs, a part each before
+
+
+def test_spaced_points_stage_no_more_than_points(spark, monkeypatch):
+    seen = []
+
+    def kept(df, name):
+        seen.append((name, df.columns, df.count()))
+        return staged(df, name)
+
+    staged = windings.stage
+    monkeypatch.setattr(windings, "stage", kept)
+    points = spark.range(2000).selectExpr("id % 2 AS gid", "id AS z", "id * 37 % 1000 AS y", "id * 91 % 1000 AS x")
+    assert windings.spaced_points(points, 20).groupBy("gid").count().where("count = 20").count() == 2
+    assert {n: c for n, _, c in seen}["spacedleft"] == 0  # both are full after their chunks; nearly 2,000 points before
+    assert all("o" not in c and "cz" not in c for n, c, _ in seen if n in ("chunks", "chunkopen", "spacedleft"))

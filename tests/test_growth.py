@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,7 @@ from laminar.plans import assembly as plans
 from laminar.plans.registry import QUERIES
 from laminar.session import ship
 from laminar.sources import sinks, tables
+from laminar.storage import stage
 
 from .conftest import SF
 
@@ -152,3 +155,18 @@ def test_spaced_points_stage_no_more_than_points(spark, monkeypatch):
     assert windings.spaced_points(points, 20).groupBy("gid").count().where("count = 20").count() == 2
     assert {n: c for n, _, c in seen}["spacedleft"] == 0  # both are full after their chunks; nearly 2,000 points before
     assert all("o" not in c and "cz" not in c for n, c, _ in seen if n in ("chunks", "chunkopen", "spacedleft"))
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark, tmp_path):
+    """Shuffle files of a staged write are removed at its end; they stayed until the driver's garbage was collected before."""
+    held = lambda: sum(f.stat().st_size for f in Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).rglob("shuffle_*") if f.exists())
+    rows = spark.range(0, 200_000, 1, 4).select(F.xxhash64("id").alias("k"), "id")
+    before = held()
+    made = stage(rows.groupBy("k").agg(F.max("id").alias("id")), "shuffled")
+    assert made.count() == 200_000
+    for _ in range(50):  # they are removed in the background
+        if held() - before < 1_000_000:
+            break
+        time.sleep(0.1)
+    assert held() - before < 1_000_000  # 2 MB and more before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

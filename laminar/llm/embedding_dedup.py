@@ -4,7 +4,8 @@ The unit vectors are cut in halves, each with a codebook of its own; the product
 the grid of cells. Every vector is listed in its cell, and visits the cells nearest to it in the order of
 the multi-sequence (sum of the two half distances) until the visited cells reach the target recall,
 which is calibrated on a bounded sample with partners at exactly the linking cosine. Cells of the same first word stand on
-one shelf; what the visited shelves list is then verified in double precision, and every link that holds is kept.
+one shelf, and shelves of neighbouring words in one bay of some thousand vectors, so that a vector is sent once to every bay that
+it visits, not to every shelf; all that a visited bay holds is then verified in double precision, and every link that holds is kept.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from laminar.graph import connected_components
 from laminar.llm.vectors import kmeans, matrix, nearest, sample, squared, valid_vectors
 from laminar.storage import stage
 
 SAMPLE = 20_000
-BLOCK = 1024
+BLOCK, LARGEST = 1024, 16_384  # vectors of a block, least and most
+CELLS = 1 << 22  # of a matrix of cosines
 
 
 def codebook_size(n: int) -> int:
@@ -77,6 +80,16 @@ class MultiIndex:
         return int(np.quantile(rank, recall))
 
 
+def bays(words: np.ndarray, held: np.ndarray, n_bays: int) -> list[int]:
+    """The bay of each shelf: shelves in the order of their codewords along the main axis, cut into bays of like numbers of vectors."""
+    away = words - words.mean(0)
+    order = np.argsort(away @ np.linalg.svd(away, full_matrices=False)[2][0], kind="stable")
+    middle = np.cumsum(held[order]) - held[order] / 2
+    out = np.empty(len(words), dtype=np.int64)
+    out[order] = np.minimum(middle * n_bays // max(1, held.sum()), n_bays - 1)
+    return out.tolist()
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     v = v / np.abs(v).max(1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -113,9 +126,10 @@ def near_duplicate_vectors(
     ``component_id`` is the smallest id reachable, ``kept`` marks that row. Null, zero, empty and
     non-finite vectors link with nothing and are their own component. Equal vectors are one class, searched
     once and counted by its size; a pair that either side's visits reach counts for both. Vectors of other than the most common length take no part in linking.
-    Rows that repeat an id are one row (of the smallest vector); null ids are left out. A crowded cell is
-    dealt into blocks of about ``BLOCK`` vectors, its seekers too, and each pair of blocks returns counts and a spanning
-    forest, never its pairs. The codebooks are fit on the ``sample_rows`` vectors of smallest hash.
+    Rows that repeat an id are one row (of the smallest vector); null ids are left out. A bay is
+    dealt into blocks of members, its seekers too, and each pair of blocks returns counts and a spanning
+    forest, never its pairs. A block has a sixth of all vectors, ``BLOCK`` at least and about ``LARGEST`` at most, so that n vectors are sent
+    n / 8,192 times each at most. The codebooks are fit on the ``sample_rows`` vectors of smallest hash.
     """
     ids = table.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
     good = valid_vectors(table, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
@@ -130,45 +144,61 @@ def near_duplicate_vectors(
     k = codebook_size(n)
     index = MultiIndex(_unit(sample(classes, sample_rows)), k, cosine, recall)
     n_second = len(index.second)
+    kind = np.float32 if table.schema[vec_col].dataType.elementType == FloatType() else np.float64  # as given: doubles are twice as long
 
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
-                unit = _unit(matrix(part["v"]))
+                given = matrix(part["v"])
+                unit = _unit(given)
                 shelves = [np.unique(c // n_second).tolist() for c in index.visit(unit)]
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "m": part["m"].to_numpy(), "u": [u.tobytes() for u in unit], "shelf": index.cell(unit) // n_second, "shelves": shelves})
+                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "m": part["m"].to_numpy(), "u": [u.tobytes() for u in given.astype(kind)], "shelf": index.cell(unit) // n_second, "shelves": shelves})
 
     listed = stage(classes.mapInPandas(lists, "rep long, m long, u binary, shelf long, shelves array<long>"), "listed")
-    crowd = {r["shelf"]: -(-r["count"] // BLOCK) for r in listed.groupBy("shelf").count().collect()}  # one row per codeword: 2,048 at most
-    visits = listed.select(F.explode("shelves").alias("shelf")).groupBy("shelf").count().collect()
-    asking = {r["shelf"]: -(-r["count"] // BLOCK) for r in visits if r["shelf"] in crowd}
-    blocks, parts = (F.create_map(*[F.lit(x) for pair in held.items() for x in pair]) for held in (crowd, asking or {-1: 1}))
-    block, part = F.pmod(F.xxhash64("rep"), blocks[F.col("shelf")]), F.pmod(F.xxhash64("rep", F.lit(1)), parts[F.col("shelf")])
+    block = min(LARGEST, max(BLOCK, -(-n // 6)))
+    n_bays = -(-n // block)
+    held = np.zeros(len(index.first))
+    for r in listed.groupBy("shelf").count().collect():  # one row per codeword: 2,048 at most
+        held[r["shelf"]] = r["count"]
+    bay = F.lit(bays(index.first, held, n_bays))
+    at = lambda values, k: F.get(values, k.cast("int"))
+    listed = listed.select("rep", "m", "u", at(bay, F.col("shelf")).alias("own"), F.array_distinct(F.transform("shelves", lambda k: at(bay, k))).alias("bays"))
+    crowd, asking = [1] * n_bays, [1] * n_bays
+    for r in listed.groupBy("own").count().collect():
+        crowd[r["own"]] = max(1, round(r["count"] / block))
+    for r in listed.select(F.explode("bays").alias("bay")).groupBy("bay").count().collect():
+        asking[r["bay"]] = max(1, round(r["count"] / block))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
-    # a shelf is dealt into blocks of members by blocks of seekers, so that no group grows with it
-    members = listed.where(parts[F.col("shelf")].isNotNull()).select("shelf", block.cast("long").alias("block"), every(parts[F.col("shelf")]).alias("part"), F.lit(0).alias("asks"), "rep", "m", "u", F.col("shelf").alias("own"), "shelves")
-    seekers = listed.select(F.explode("shelves").alias("shelf"), "rep", "m", "u", F.col("shelf").alias("own")).where(blocks[F.col("shelf")].isNotNull())
-    seekers = seekers.select("shelf", every(blocks[F.col("shelf")]).alias("block"), part.cast("long").alias("part"), F.lit(1).alias("asks"), "rep", "m", "u", "own", F.array().cast("array<long>").alias("shelves"))
+    one_of = lambda sizes, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), at(F.lit(sizes), F.col("bay"))).cast("long")
+    # a bay is dealt into blocks of members by blocks of seekers, so that no group grows with it
+    members = listed.withColumn("bay", F.col("own")).withColumn("block", one_of(crowd, 0))
+    members = members.select("bay", "block", every(at(F.lit(asking), F.col("bay"))).alias("part"), F.lit(0).alias("asks"), "rep", "m", "u", "own", "bays")
+    seekers = listed.withColumn("bay", F.explode("bays")).withColumn("part", one_of(asking, 1))
+    seekers = seekers.select("bay", every(at(F.lit(crowd), F.col("bay"))).alias("block"), "part", F.lit(1).alias("asks"), "rep", "m", "u", "own", F.array().cast("array<bigint>").alias("bays"))
     both = members.unionByName(seekers)
 
+    def units(column: pd.Series) -> np.ndarray:
+        return _unit(np.frombuffer(b"".join(column), dtype=kind).reshape(len(column), -1).astype(np.float64))
+
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         known, asks = group[group["asks"] == 0], group[group["asks"] == 1]
         rows, counts, edges = [], [], []
         if len(known) and len(asks):
             known = known.sort_values("rep")
-            mu = np.frombuffer(b"".join(known["u"]), dtype=np.float64).reshape(len(known), -1)
-            ids_, m, visited = known["rep"].to_numpy(), known["m"].to_numpy(), known["shelves"].to_numpy()
-            for at in range(0, len(asks), BLOCK):
-                q = asks.iloc[at : at + BLOCK]
-                qu = np.frombuffer(b"".join(q["u"]), dtype=np.float64).reshape(len(q), -1)
+            mu = units(known["u"])
+            ids_, m = known["rep"].to_numpy(), known["m"].to_numpy()
+            visited = np.zeros((len(known), n_bays), dtype=bool)
+            for k, b in enumerate(known["bays"]):
+                visited[k, b] = True
+            step = max(1, CELLS // len(known))
+            for start in range(0, len(asks), step):
+                q = asks.iloc[start : start + step]
                 q_ids, q_own, q_m = q["rep"].to_numpy(), q["own"].to_numpy(), q["m"].to_numpy()
-                link = qu @ mu.T >= cosine
+                link = units(q["u"]) @ mu.T >= cosine
                 link &= q_ids[:, None] != ids_[None, :]
                 met = np.flatnonzero(link.any(0))
-                alone = link[:, met]
-                for j, at_member in enumerate(met):
-                    alone[:, j] &= ~np.isin(q_own, visited[at_member])  # the member does not come by these seekers' shelf itself
+                alone = link[:, met] & ~visited[met][:, q_own].T  # the member does not come by these seekers' bay itself
                 for who, found in ((q_ids, link @ m), (ids_[met], q_m @ alone)):
                     hit = np.flatnonzero(found)
                     rows.extend(who[hit].tolist())
@@ -177,7 +207,7 @@ def near_duplicate_vectors(
         seen = [(a, c, None) for a, c in zip(rows, counts, strict=True)] + [(a, None, b) for a, b in edges]
         return pd.DataFrame(seen, columns=["rep", "found", "other"]).astype({"rep": "int64", "found": "Int64", "other": "Int64"})
 
-    found = stage(both.groupBy("shelf", "block", "part").applyInPandas(verify, "rep long, found long, other long"), "found")
+    found = stage(both.groupBy("bay", "block", "part").applyInPandas(verify, "rep long, found long, other long"), "found")
     links = found.where("found IS NOT NULL").groupBy("rep").agg(F.sum("found").alias("far"))
     comps = connected_components(found.where("other IS NOT NULL").select(F.col("rep").alias("src"), F.col("other").alias("dst")))
     per_class = classes.join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")

@@ -93,3 +93,33 @@ def test_odd_rows(spark):
     assert all(got[k] == (0, k, True) for k in (1, 2, 3, 4, 5, 6, 10, 11))
     assert got[7] == (2, 7, True) and got[8] == (2, 7, False) and got[9] == (2, 7, False)
     assert near_duplicate_vectors(table.limit(0)).count() == 0
+
+
+def test_vectors_are_sent_by_bays(spark, monkeypatch):
+    """Copies of a vector that are sent follow the number of bays, not of the shelves it visits; results are those of brute force."""
+    seen = {}
+
+    def kept(df, name):
+        if name == "found":
+            plan = df._jdf.queryExecution().optimizedPlan()
+            while "FlatMapGroupsInPandas" not in plan.nodeName():
+                plan = plan.children().head()
+            seen["sent"] = df._jdf.ofRows(df._jdf.sparkSession(), plan.children().head()).count()
+        return staged(df, name)
+
+    staged = embedding_dedup.stage
+    monkeypatch.setattr(embedding_dedup, "stage", kept)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 256)
+    x = clouds(8, groups=40, lone=1440)
+    rows = [(k, [float(v) for v in row]) for k, row in enumerate(x)]
+    compare(near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect(), brute([(i, np.float32(v).tolist()) for i, v in rows]))
+    assert seen["sent"] <= 2 * 6 * len(x)  # six bays, each vector as a member and as a seeker
+
+
+def test_bays_hold_like_numbers():
+    words = np.random.default_rng(4).standard_normal((64, 8))
+    held = np.full(64, 100.0)
+    made = embedding_dedup.bays(words, held, 5)
+    assert sorted(set(made)) == list(range(5)) and max(np.bincount(made)) <= 13
+    held[7] = 5000.0
+    assert max(np.bincount(embedding_dedup.bays(words, held, 5), weights=held)) <= 7600
